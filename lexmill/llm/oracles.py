@@ -22,7 +22,15 @@ _GROUPS = f"""WITH RECURSIVE {_links(_MAILS, 3, 1, 2)},
 _CLEANED = """SELECT id, any_value(text) AS text, any_value(lower(trim(split))) AS s FROM spam_assassin_preprocessed
     WHERE text IS NOT NULL AND lower(trim(split)) IN ('train', 'test', 'valid') GROUP BY id"""
 
+_TERMS = """SELECT term, CAST(sum(c) AS BIGINT) AS occurrences, count(*) AS records,
+    CASE WHEN count(*) < 3 THEN 'rare' WHEN count(*) * 5 > any_value(total) THEN 'common' END AS mark
+    FROM (SELECT id, term, count(*) AS c FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term
+        FROM (SELECT id, any_value(text) AS text FROM spam_assassin_preprocessed WHERE text IS NOT NULL GROUP BY id)) GROUP BY 1, 2),
+    (SELECT count(DISTINCT id) AS total FROM spam_assassin_preprocessed WHERE text IS NOT NULL) GROUP BY term"""
+
 ORACLES = {
+    "p1_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
+    "p1_term_frequencies": _TERMS,
     "p2_found": _GROUPS + " SELECT x.id AS id_a, y.id AS id_b FROM groups x JOIN groups y ON x.group_id = y.group_id AND x.id < y.id",
     "p3_found": f"""WITH {_links(_CLEANED, 2, 7, 10)}
     SELECT a AS id_a, b AS id_b FROM links JOIN src s ON s.id = a JOIN src t ON t.id = b WHERE (s.s = 'train') <> (t.s = 'train')""",

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import overlaps
+from . import overlaps, terms
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_term_frequencies(spark: SparkSession, folder: str) -> DataFrame:
+    return terms.term_frequencies(_table(spark, folder, "spam_assassin_preprocessed").select("id", "text"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_term_frequencies(spark, folder).where("mark IS NOT NULL").select("term", "mark")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return overlaps.grouped_pairs(p2_groups(spark, folder))
 
@@ -24,4 +32,4 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return overlaps.cross_split_pairs(_table(spark, folder, "spam_assassin_preprocessed").select("id", "split", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found)}

@@ -318,12 +318,12 @@ class Joined:
 def similar_sets(rows: DataFrame, spec: SetJoin, crossed: bool = False) -> Joined:
     """All pairs of sets of word runs in ``rows(id, role, text)`` whose similarity reaches the threshold.
 
-    ``role`` is a mask; with ``crossed`` a pair needs bit 0 in one set's records and bit 1 in the other's.  Null texts,
-    empty texts and texts of fewer than ``min_words`` words belong to no pair and to no record.  Rows repeated under one
+    ``role`` is a mask; with ``crossed`` a pair needs bit 0 in one set's records and bit 1 in the other's.  Null ids and
+    texts, empty texts and texts of fewer than ``min_words`` words belong to no pair and to no record.  Rows repeated under one
     id count once.  An empty table gives empty results.
     """
     spark = rows.sparkSession
-    rows = rows.select(F.col("id").cast("long"), F.col("role").cast("int"), "text")
+    rows = rows.select(F.col("id").cast("long"), F.col("role").cast("int"), "text").where("id IS NOT NULL AND text IS NOT NULL")
     table = write_shared(rows.mapInArrow(_profile(spec), _PROFILE), "profile", ("kind",))
     plain = spark.read.schema(_PROFILE).parquet(table)
     sketch = spark.sparkContext.broadcast(_sketch(plain.where("kind = 'sketch'")))
