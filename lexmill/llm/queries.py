@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import overlaps, terms
+from . import encoding, overlaps, terms
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,12 +24,23 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
-    mails = _table(spark, folder, "spam_assassin").selectExpr("id", "email_content AS text")
-    return overlaps.near_duplicate_groups(mails, overlaps.MAIL_COPIES)
+    return overlaps.near_duplicate_groups(_mails(spark, folder), overlaps.MAIL_COPIES)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return overlaps.cross_split_pairs(_table(spark, folder, "spam_assassin_preprocessed").select("id", "split", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found)}
+def _mails(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "spam_assassin").selectExpr("id", "email_content AS text")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.garbled(_mails(spark, folder), restore=False)
+
+
+def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.garbled(_mails(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found, p4_found, p4_restored)}
