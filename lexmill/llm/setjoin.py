@@ -23,10 +23,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, drop_shared, write_shared
@@ -36,7 +38,8 @@ SKETCH_BITS = 22
 _CHUNK = 1 << 14
 #: Estimated document frequency from which a run is indexed only together with a second one.
 HOT = 4096
-_WORDS = 6
+#: Words of a bitmap: the first _SMALL of them for sets of at most _SMALL_SET runs, whose bits are the larger ones' folded.
+_WORDS, _SMALL, _SMALL_SET = 12, 4, 130
 BLOOM_BITS = 25
 _ONE = np.uint64(1)
 
@@ -74,10 +77,12 @@ def _set_hash(offsets: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _parity(offsets: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A bitmap of 64 * _WORDS bits for each set: how often each bit is hit, modulo 2."""
+    """A bitmap for each set: how often each bit is hit, modulo 2; of the smaller width for small sets, then zeros."""
     docs, width = len(offsets) - 1, 64 * _WORDS
-    doc = np.repeat(np.arange(docs), np.diff(offsets))
-    bit = ((h >> np.uint64(40)) % np.uint64(width)).astype(np.int64)
+    n = np.diff(offsets)
+    doc = np.repeat(np.arange(docs), n)
+    bit = ((h >> np.uint64(20)) % np.uint64(width)).astype(np.int64)
+    bit[n[doc] <= _SMALL_SET] %= 64 * _SMALL
     odd = (np.bincount(doc * width + bit, minlength=docs * width) & 1).astype(np.uint8)
     return np.packbits(odd.reshape(docs, width), axis=1).view(np.int64).reshape(docs, _WORDS)
 
@@ -147,7 +152,7 @@ def _ordered(h: np.ndarray, doc: np.ndarray, sketch: np.ndarray) -> tuple[np.nda
 def _signatures(spec: SetJoin, sketch, parts: int):
     hot = int(np.log2(HOT + 1.0) * 2048)
     names = ["part", "sid", "n", "role", "cnt", "sig", "pos"]
-    types = [pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 5]
+    types = [pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 4, pa.list_(pa.int16())]
 
     def signs(offsets, h):
         """(record, signature, position) of a chunk."""
@@ -192,7 +197,7 @@ def _signatures(spec: SetJoin, sketch, parts: int):
             rows = []
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 which, cnt = np.unique(d[i:j], return_counts=True)
-                rows.append((int(part[i]), sid[which], n[which].astype(np.int32), role[which].astype(np.int32), cnt.astype(np.int32), s[i:j].astype(np.uint32).view(np.int32), p[i:j].astype(np.int32)))
+                rows.append((int(part[i]), sid[which], n[which].astype(np.int32), role[which].astype(np.int32), cnt.astype(np.int32), s[i:j].astype(np.uint32).view(np.int32), np.minimum(p[i:j], 32767).astype(np.int16)))
                 if len(rows) >= 64:
                     yield _rows(rows, names, types)
                     rows = []
@@ -307,6 +312,19 @@ def _verify(spec: SetJoin):
     return run
 
 
+def _unlike(na: Column, nb: Column) -> Column:
+    """Bits that differ in bitmaps ``aw*`` and ``bw*``: no more than the runs only one of the sets has."""
+
+    def apart(a: list[Column], b: list[Column]) -> Column:
+        return reduce(add, (F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)))
+
+    def folded(side: str) -> list[Column]:
+        return [reduce(lambda x, y: x.bitwiseXOR(y), (F.col(f"{side}w{j}") for j in range(i, _WORDS, _SMALL))) for i in range(_SMALL)]
+
+    whole = apart([F.col(f"aw{i}") for i in range(_WORDS)], [F.col(f"bw{i}") for i in range(_WORDS)])
+    return F.when((na > _SMALL_SET) == (nb > _SMALL_SET), whole).otherwise(apart(folded("a"), folded("b")))
+
+
 @dataclass
 class Joined:
     """``records(id, role, sid, n)``, each id once; ``links(a, b)`` of different sets, each pair once, a < b."""
@@ -331,13 +349,13 @@ def similar_sets(rows: DataFrame, spec: SetJoin, crossed: bool = False) -> Joine
     bits = [f"w{i}" for i in range(_WORDS)]
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signs = rows.select("role", "text").mapInArrow(_signatures(spec, sketch, parts), "part int, sid array<long>, n array<int>, role array<int>, cnt array<int>, sig array<int>, pos array<int>")
+    signs = rows.select("role", "text").mapInArrow(_signatures(spec, sketch, parts), "part int, sid array<long>, n array<int>, role array<int>, cnt array<int>, sig array<int>, pos array<short>")
     pairs = signs.repartitionById(parts, F.col("part")).mapInArrow(_pairs(spec, crossed), "a long, b long")
     pairs = pairs.repartition(parts, "a").dropDuplicates(["a", "b"])
     classes = found.select("sid", "n", *bits).groupBy("sid").agg(F.first("n").alias("n"), *(F.first(b).alias(b) for b in bits))
     left = classes.select(F.col("sid").alias("a"), F.col("n").alias("na"), *(F.col(b).alias(f"a{b}") for b in bits))
     right = classes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), *(F.col(b).alias(f"b{b}") for b in bits))
-    unlike = sum((F.bit_count(F.col(f"a{b}").bitwiseXOR(F.col(f"b{b}"))) for b in bits), F.lit(0))
+    unlike = _unlike(F.col("na"), F.col("nb"))
     least = F.ceil((F.col("na") + F.col("nb")) * spec.num / F.lit(spec.num + spec.den) - 1e-9)
     near = pairs.join(left, "a").join(right, "b").where(unlike <= F.col("na") + F.col("nb") - 2 * least).select("a", "b")
     near = cut(near, "near")
