@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, overlaps, terms
+from . import encoding, newtext, overlaps, terms
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,4 +43,12 @@ def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.garbled(_mails(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found, p4_found, p4_restored)}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return newtext.new_lines(_mails(spark, folder))
+
+
+def p6_labelled_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return newtext.labelled_lines(_mails(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found, p4_found, p4_restored, p6_found, p6_labelled_lines)}
