@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, newtext, overlaps, terms
+from . import encoding, mixing, newtext, overlaps, packing, terms
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,4 +51,20 @@ def p6_labelled_lines(spark: SparkSession, folder: str) -> DataFrame:
     return newtext.labelled_lines(_mails(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found, p4_found, p4_restored, p6_found, p6_labelled_lines)}
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, folder, "documents"), _table(spark, folder, "container_sizes"))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_report(p7_packed(spark, folder), _table(spark, folder, "container_sizes"))
+
+
+def p8_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_table(spark, folder, "documents"), _table(spark, folder, "source_weights"))
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_report(p8_copies(spark, folder), _table(spark, folder, "source_weights"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found, p4_found, p4_restored, p6_found, p6_labelled_lines, p7_packed, p7_report, p8_copies, p8_report)}
