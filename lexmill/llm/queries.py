@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, mixing, newtext, overlaps, packing, terms
+from . import encoding, mixing, neighbours, newtext, overlaps, packing, terms
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +43,15 @@ def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.garbled(_mails(spark, folder))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.similar_pairs(_table(spark, folder, "train_tfidf_features"))
+
+
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    near = neighbours.most_similar(_table(spark, folder, "train_tfidf_features"), 5, queries="id % 20 = 0")
+    return near.selectExpr("id AS row_id", "neighbour", "round(cosine, 6) AS cosine", "CAST(rank AS INT) AS rank")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return newtext.new_lines(_mails(spark, folder))
 
@@ -67,4 +76,4 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(p8_copies(spark, folder), _table(spark, folder, "source_weights"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found, p4_found, p4_restored, p6_found, p6_labelled_lines, p7_packed, p7_report, p8_copies, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found, p4_found, p4_restored, p5_found, p5_neighbours, p6_found, p6_labelled_lines, p7_packed, p7_report, p8_copies, p8_report)}
