@@ -17,6 +17,9 @@ CHUNK_BYTES = 1 << 20
 _FOLD = np.zeros(256, np.uint8)
 for _lo, _hi, _shift in ((48, 58, 0), (65, 91, 32), (97, 123, 0)):
     _FOLD[_lo:_hi] = np.arange(_lo, _hi) + _shift
+#: As _FOLD, with the bytes of characters outside ASCII as letters too.
+FOLD_LETTERS = _FOLD.copy()
+FOLD_LETTERS[128:] = np.arange(128, 256)
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -92,10 +95,10 @@ def text_chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES):
         at = to
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray) -> Words:
+def words_of(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _FOLD) -> Words:
     """The words of one chunk of :func:`text_chunks`."""
     docs = len(offsets) - 1
-    folded = _FOLD[raw]
+    folded = fold[raw]
     inside = folded != 0
     n = len(folded)
     if not n:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, mixing, neighbours, newtext, overlaps, packing, terms
+from . import encoding, mixing, neighbours, newtext, overlaps, packing, subjects, terms
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,4 +76,16 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(p8_copies(spark, folder), _table(spark, folder, "source_weights"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found, p4_found, p4_restored, p5_found, p5_neighbours, p6_found, p6_labelled_lines, p7_packed, p7_report, p8_copies, p8_report)}
+def _areas(spark: SparkSession, folder: str, every: bool) -> DataFrame:
+    return subjects.subject_areas(*(_table(spark, folder, t) for t in ("documents", "subject_labels", "subjects")), every=every)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _areas(spark, folder, False).select("doc_id", "subject_id")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _areas(spark, folder, True).selectExpr("doc_id", "subject_id", "round(share, 6) AS share")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found, p4_found, p4_restored, p5_found, p5_neighbours, p6_found, p6_labelled_lines, p7_packed, p7_report, p8_copies, p8_report, p9_found, p9_shares)}
