@@ -66,7 +66,8 @@ def top_k(train: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     q_blocks = max(1, -(-queries.count() // BLOCK))
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("id", "v", every(blocks).alias("b"), place(q_blocks).alias("a"))
+    renewed = [F.col("id").alias("id"), F.col("v").alias("v")]  # both sides may come from one table
+    left = queries.select(*renewed, every(blocks).alias("b"), place(q_blocks).alias("a"))
     right = train.select("id", "v", F.col("label").cast("int").alias("label"), place(blocks).alias("b"), every(q_blocks).alias("a"))
     best = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_block_best(k), "qid long, tid long, label int, sim double")
     order = Window.partitionBy("qid").orderBy(F.desc("sim"), "tid")
