@@ -36,8 +36,10 @@ def ngrams(items: Column, n: int) -> Column:
     """Runs of ``n`` tokens joined by blanks, repeats kept; the tokens themselves for ``n`` up to 1, none if too few."""
     if n <= 1:
         return items
-    run = lambda i: F.concat_ws(" ", F.slice(items, i + 1, n))
-    some = F.transform(F.sequence(F.lit(0), F.size(items) - n), run)
+    count = F.greatest(F.size(items) - (n - 1), F.lit(0))
+    some = F.slice(items, 1, count)
+    for j in range(1, n):
+        some = F.zip_with(some, F.slice(items, j + 1, count), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.when(F.size(items) >= n, some).otherwise(F.array().cast("array<string>"))
 
 

@@ -23,10 +23,15 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def unit(v: Column, length: Column) -> Column:
-    """``v`` divided by ``length``, a column of its norm; all zeros if that is 0 or NaN."""
-    good = (length > 0) & ~F.isnan(length)
-    return F.transform(v, lambda x: F.when(good, x / length).otherwise(0.0))
+def unit(v: Column) -> Column:
+    """``v`` divided by its norm; all zeros if that is 0 or NaN, null stays null.
+
+    The norm is bound once a row, as an element of an array; named in the inner lambda itself it would be worked out for
+    every cell.
+    """
+    bound = F.array(F.struct(v.alias("v"), norm(v).alias("n")))
+    scaled = F.transform(bound, lambda s: F.transform(s["v"], lambda x: F.when((s["n"] > 0) & ~F.isnan(s["n"]), x / s["n"]).otherwise(0.0)))
+    return F.element_at(scaled, 1)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

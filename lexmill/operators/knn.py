@@ -20,7 +20,7 @@ BLOCK = 16_384
 
 def unit_vectors(rows: DataFrame) -> DataFrame:
     """``rows`` with ``v`` scaled to length 1; vectors of length 0 or NaN become all zeros.  Null vectors stay null."""
-    return rows.withColumn("_norm", norm(F.col("v"))).withColumn("v", unit(F.col("v"), F.col("_norm"))).drop("_norm")
+    return rows.withColumn("v", unit(F.col("v")))
 
 
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:

@@ -60,7 +60,7 @@ def fit(tfidf: TfIdf, docs: DataFrame, c: float = 1.0, max_iter: int = 1000) ->
     """
     data = vectors(tfidf, docs.select("doc_id", "terms", F.col("label").cast("double").alias("label"))).where("label IS NOT NULL")
     n = data.count()
-    learner = LogisticRegression(maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, tol=1e-8)
+    learner = LogisticRegression(maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, tol=1e-6)
     return Linear(tfidf, learner.fit(data.select("features", "label")))
 
 
