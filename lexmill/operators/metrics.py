@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def _pairs(rows: DataFrame, by: list[str]) -> DataFrame:
     """Counts of (true, pred): all metrics follow from these few rows."""
-    kept = rows.where("true IS NOT NULL AND pred IS NOT NULL")
+    kept = rows.where(F.col("true").isNotNull() & F.col("pred").isNotNull())
     return kept.groupBy(*by, F.col("true").cast("string").alias("true"), F.col("pred").cast("string").alias("pred")).agg(F.count("*").alias("n"))
 
 
