@@ -1,7 +1,7 @@
 """The lines of a mail that its sender wrote for it (problem 6).
 
 Every line gets a feature symbol from its punctuation, prefix, position and neighbouring lines; a hidden Markov model over
-six labels (header, new, quoted, forwarded, signature, notice) labels the lines of a mail together by its best path.  The
+the labels header, new, quoted, forwarded, signature and notice labels the lines of a mail together by its best path.  The
 model starts from the priors below and is trained here without labelled mails: best paths over a bounded sample
 (``SAMPLE`` mails) re-estimate its probabilities, with the priors as pseudo-counts.  All mails are labelled, whole.
 """
@@ -21,8 +21,9 @@ from ..operators.sampling import bounded_sample
 SAMPLE = 2000
 ROUNDS = 3
 PSEUDO = 500.0
-HEADER, NEW, QUOTED, FORWARD, SIGNATURE, NOTICE = LABELS = range(6)
-LABEL_NAMES = ("header", "new", "quoted", "forwarded", "signature", "notice")
+#: The states; a forwarded message is only entered by a line that marks one.
+HEADER, NEW, QUOTED, FORWARD, SIGNATURE, NOTICE, FORWARD_MARK = range(7)
+LABEL_NAMES = ("header", "new", "quoted", "forwarded", "signature", "notice", "forwarded")
 SYMBOLS = ("blank", "head_top", "head_in", "more", "quote", "intro", "intro_part", "forward", "rule", "rule_head", "rule_legal", "dashes", "close", "device", "legal", "list", "name", "greet", "text", "after_rule", "ps")
 _AT = {s: i for i, s in enumerate(SYMBOLS)}
 
@@ -42,7 +43,7 @@ def _fold(text: str) -> str:
 
 
 _TAG = re.compile(r"<(?![\w.+-]+@)/?[a-zA-Z][^<>]*>|&nbsp;|&#160;")
-_QUOTE = re.compile(r"\s*(?:>|»|Â»|┬╗|¬ª|Ã‚Â»|\|(?:\s|$)|:(?:\s|$)|[A-Z]{1,3}>)")
+_QUOTE = re.compile(r"\s*(?:>|»|�\s|Â»|┬╗|¬ª|Ã‚Â»|\|(?:\s|$)|:(?:\s|$)|[A-Z]{1,3}>)")
 _FIELD = re.compile(r"[>\s*]*(?:X-[\w-]+|" + "|".join(dict.fromkeys(re.escape(_fold(f)) for f in FIELDS.split())) + r")\s?:(?:\*|\s|$)", re.I)
 _VERB = _fold(r"(?:wrote|writes|said|schrieb|escribió|escribio|a écrit|escreveu)")
 _INTRO_END = re.compile(rf"(?<!\w){_VERB}(?!\w)[^:]{{0,80}}:\s*$", re.I)
@@ -57,7 +58,7 @@ _DEVICE = re.compile(r"\s*(?:sent from (?:my|the)\b|sent via\b|gesendet von (?:m
 _LEGAL = re.compile(_fold(LEGAL), re.I)
 _LIST = re.compile(r"\s*(?:to leave|to unsubscribe|unsubscribe|to post)\s*:?\s*(?:http|\S+@)|.*\bmailing list\s*$|.*\blist service\s*$", re.I)
 _WORD = r"[A-Za-z¿][\w'¿-]*"
-_NAME = re.compile(rf"\s*(?:[~/]{_WORD}(?: {_WORD}){{0,2}}/?|[A-Z¿][\w'¿-]+(?: [A-Z¿][\w'¿-]*\.?){{0,2}}|[A-Z][\w ]{{2,25}}, {_WORD}(?: (?:Ltd|GmbH|SA|Inc|AG|LLC|Co|plc|SL)\.?)?|(?:phone|tel|fax|mobile|ext|cell)\b[.:]?\s*[+\d][\d ()-]*|https?://\S+|www\.\S+|\S+@\S+\.\S+|[\"¿].{{3,60}}[\"¿])\s*$")
+_NAME = re.compile(rf"\s*(?:[~/]{_WORD}(?: {_WORD}){{0,2}}/?|[A-Z¿][\w'¿-]+(?: [A-Z¿][\w'¿-]*\.?){{0,2}}|[A-Z][\w ]{{2,25}}, {_WORD}(?: (?:Ltd|GmbH|SA|Inc|AG|LLC|Co|plc|SL)\.?)?|(?:phone|tel|fax|mobile|ext|cell)\b[.:]?\s*[+\d][\d ()-]*|https?://\S+|www\.\S+|\S+@\S+\.\S+|\".{{3,60}}\")\s*$")
 _CONTACT = re.compile(r"\s*(?:(?:phone|tel|fax|mobile|ext|cell)\b[.:]?\s*[+\d][\d ()./-]*|https?://\S+|\"[^\"]{3,60}\")\s*$", re.I)
 _GREET = re.compile(r"\s*(?:hi|hello|hey|dear|good (?:morning|afternoon|evening|day)|greetings|hola|buenos d¿as|buenas|guten|hallo|liebe[rs]?|sehr geehrte|salut|bonjour|cher|ch¿re|ol¿|oi|bom dia|caro)\b.{0,45}[,:!]?\s*$|\s*" + _WORD + r"(?: " + _WORD + r")?\s?[,:!]\s*$", re.I)
 _PS = re.compile(r"\s*p\.?\s?s\.?\s*[:\-]", re.I)
@@ -119,6 +120,7 @@ def symbols(lines: list[str]) -> list[int]:
             top = False
         out[i] = _AT[s]
     text, name, close, rule, greet, quote = (_AT[s] for s in ("text", "name", "close", "rule", "greet", "quote"))
+    opening = (0, greet, _AT["head_top"], _AT["more"])
     heads, legal = (_AT["head_in"], _AT["head_top"]), (_AT["legal"], _AT["list"])
     before = 0
     for i in range(n):
@@ -127,7 +129,8 @@ def symbols(lines: list[str]) -> list[int]:
             out[i] = quote  # the rest of a quoted line that was wrapped
         elif s == close or s == name and lines[i].lstrip()[0] not in "~/":
             # a short line within a paragraph is running text, whatever it looks like
-            if i and out[i - 1] in (text,) or (i + 1 < n and out[i + 1] == text and before in (text, greet, 0) and s == name):
+            # or first of all; a name stands below something
+            if i and out[i - 1] == text or s == name and (before in opening or i + 1 < n and out[i + 1] == text and before == text):
                 out[i] = text
         elif s == rule:
             follow = next((out[j] for j in range(i + 1, min(n, i + 4)) if out[j]), 0)
@@ -144,17 +147,20 @@ def symbols(lines: list[str]) -> list[int]:
 
 def prior() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Probabilities of first labels, of label after label, and of symbols under a label, before training."""
-    start = np.array([0.4, 0.4, 0.15, 0.04, 0.005, 0.005])
+    never = 1e-12
+    start = np.array([0.4, 0.4, 0.15, never, 0.005, 0.005, 0.04])
+    # from: header, new, quoted, forwarded, signature, notice, mark of a forward
     step = np.array([
-        [0.90, 0.05, 0.03, 0.02, 1e-6, 1e-6],
-        [1e-9, 0.90, 0.04, 0.01, 0.04, 0.01],
-        [1e-9, 0.06, 0.90, 0.01, 0.015, 0.015],
-        [1e-9, 1e-7, 1e-6, 0.999, 1e-6, 1e-3],
-        [1e-9, 1e-5, 0.03, 0.03, 0.90, 0.04],
-        [1e-9, 1e-5, 0.01, 0.01, 0.01, 0.97],
+        [0.90, 0.05, 0.03, never, 1e-6, 1e-6, 0.02],
+        [1e-9, 0.90, 0.04, never, 0.04, 0.01, 0.01],
+        [1e-9, 0.06, 0.90, never, 0.015, 0.015, 0.01],
+        [1e-9, 1e-7, 1e-6, 0.999, 1e-6, 1e-3, 1e-6],
+        [1e-9, 1e-5, 0.03, never, 0.90, 0.04, 0.03],
+        [1e-9, 1e-5, 0.01, never, 0.01, 0.97, 0.01],
+        [1e-9, 1e-7, 1e-6, 0.60, 1e-6, 1e-6, 0.40],
     ])
     tiny = 1e-7
-    emit = np.full((6, len(SYMBOLS)), tiny)
+    emit = np.full((7, len(SYMBOLS)), tiny)
 
     def give(label: int, **weights: float) -> None:
         for symbol, w in weights.items():
@@ -164,6 +170,7 @@ def prior() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     give(NEW, text=0.7, blank=0.2, greet=0.05, name=2e-4, close=1e-5, ps=0.01, after_rule=0.001, legal=1e-4, head_in=1e-4, more=1e-4, list=1e-5)
     give(QUOTED, quote=0.8, intro=0.1, intro_part=0.02, blank=0.08, text=1e-4)
     give(FORWARD, forward=0.05, rule_head=0.02, head_in=0.2, head_top=0.02, text=0.5, blank=0.2, greet=0.01, name=0.02, close=0.01, quote=0.01, intro=0.005, dashes=0.01, device=0.005, rule=0.003, after_rule=0.003, legal=0.003, rule_legal=0.002, list=0.002, intro_part=0.001)
+    give(FORWARD_MARK, forward=0.5, rule_head=0.3, head_in=0.2)
     give(SIGNATURE, close=0.2, name=0.4, dashes=0.15, device=0.05, blank=0.2, rule=0.05, after_rule=0.05, text=0.002, greet=0.002, list=0.02, ps=1e-5)
     give(NOTICE, legal=0.4, rule_legal=0.1, rule=0.05, list=0.15, text=0.15, after_rule=0.05, name=0.03, blank=0.1, greet=0.01, close=0.001)
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
