@@ -34,4 +34,11 @@ ORACLES = {
     "p2_found": _GROUPS + " SELECT x.id AS id_a, y.id AS id_b FROM groups x JOIN groups y ON x.group_id = y.group_id AND x.id < y.id",
     "p3_found": f"""WITH {_links(_CLEANED, 2, 7, 10)}
     SELECT a AS id_a, b AS id_b FROM links JOIN src s ON s.id = a JOIN src t ON t.id = b WHERE (s.s = 'train') <> (t.s = 'train')""",
+    "p3_report": f"""WITH {_links(_CLEANED, 2, 7, 10)},
+    pairs AS (SELECT a, b FROM links JOIN src s ON s.id = a JOIN src t ON t.id = b WHERE (s.s = 'train') <> (t.s = 'train')),
+    kept AS (SELECT id, lower(trim(any_value(split))) AS split, any_value(source) AS source, lower(trim(any_value(label))) AS label FROM spam_assassin_preprocessed GROUP BY id),
+    told AS (SELECT x.id, x.label IS NOT DISTINCT FROM y.label AS same FROM (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs) JOIN kept x ON x.id = a JOIN kept y ON y.id = b),
+    each AS (SELECT id, max(CAST(same AS INTEGER)) AS same, max(CAST(NOT same AS INTEGER)) AS another FROM told GROUP BY id)
+    SELECT split, source, count(*) AS records, count(same) AS overlapping, CAST(coalesce(sum(same), 0) AS BIGINT) AS same_label, CAST(coalesce(sum(another), 0) AS BIGINT) AS other_label
+    FROM kept LEFT JOIN each USING (id) GROUP BY split, source""",
 }

@@ -59,3 +59,22 @@ def cross_split_pairs(rows: DataFrame, spec: SetJoin = SPLIT_COPIES) -> DataFram
     near = ways.join(train, "st").join(held, "se").select("t", "e")
     same = train.join(held, F.col("st") == F.col("se")).select("t", "e")
     return near.unionAll(same).select(F.least("t", "e").alias("id_a"), F.greatest("t", "e").alias("id_b"))
+
+
+def overlap_report(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(split, source, records, overlapping, same_label, other_label) for ``rows(id, split, source, label)``.
+
+    ``pairs`` are those of :func:`cross_split_pairs`.  ``overlapping`` counts the records in any pair, the last two those
+    with a partner of the same and of another label; labels are compared as text, trimmed and lower-cased, and a null
+    label as a label of its own.  Null splits and sources are groups of their own.
+    """
+    tidy = lambda c: F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    kept = rows.select("id", tidy("split").alias("split"), "source", tidy("label").alias("label")).where("id IS NOT NULL").dropDuplicates(["id"])
+    ways = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("other")).unionAll(pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("other")))
+    labels = kept.select(F.col("id").alias("lid"), "label")
+    told = ways.join(labels, F.col("id") == F.col("lid")).select("id", "other", F.col("label").alias("own"))
+    told = told.join(labels, F.col("other") == F.col("lid")).select("id", F.col("own").eqNullSafe(F.col("label")).alias("same"))
+    each = told.groupBy("id").agg(F.max(F.col("same").cast("int")).alias("same"), F.max((~F.col("same")).cast("int")).alias("another"))
+    full = kept.join(each, "id", "left")
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return full.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("same").alias("overlapping"), count("same").alias("same_label"), count("another").alias("other_label"))

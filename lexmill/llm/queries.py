@@ -31,6 +31,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return overlaps.cross_split_pairs(_table(spark, folder, "spam_assassin_preprocessed").select("id", "split", "text"))
 
 
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "spam_assassin_preprocessed")
+    return overlaps.overlap_report(rows, p3_found(spark, folder))
+
+
 def _mails(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "spam_assassin").selectExpr("id", "email_content AS text")
 
@@ -88,4 +93,4 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _areas(spark, folder, True).selectExpr("doc_id", "subject_id", "round(share, 6) AS share")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found, p4_found, p4_restored, p5_found, p5_neighbours, p6_found, p6_labelled_lines, p7_packed, p7_report, p8_copies, p8_report, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_restored, p5_found, p5_neighbours, p6_found, p6_labelled_lines, p7_packed, p7_report, p8_copies, p8_report, p9_found, p9_shares)}
