@@ -50,15 +50,14 @@ def macro(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def summary(rows: DataFrame, pos_label: str | None = "spam", by: list[str] | None = None) -> DataFrame:
     """(by..., accuracy, precision, recall, f1, n): of ``pos_label`` if it is one of exactly two labels, else macro means."""
-    by = by or []
+    if not by:
+        return summary(rows.withColumn("_all", F.lit(0)), pos_label, ["_all"]).drop("_all")
     each = per_class(rows, by)
     stats = each.groupBy(*by).agg(F.count("*").alias("labels"), *(f(c).alias(f"{k}_{c}") for c in ("precision", "recall", "f1") for k, f in (("macro", F.avg), ("pos", lambda c: F.max(F.when(F.col("label") == F.lit(pos_label), F.col(c)))))))
     binary = (F.col("labels") == 2) & F.col("pos_f1").isNotNull()
     chosen = [F.when(binary, F.col(f"pos_{c}")).otherwise(F.col(f"macro_{c}")).alias(c) for c in ("precision", "recall", "f1")]
     picked = stats.select(*by, *chosen)
-    base = _accuracy(rows, by)
-    both = base.join(picked, by) if by else base.crossJoin(picked)  # without groups each side is one row
-    return both.select(*by, "accuracy", "precision", "recall", "f1", "n")
+    return _accuracy(rows, by).join(picked, by).select(*by, "accuracy", "precision", "recall", "f1", "n")
 
 
 def report(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
