@@ -314,7 +314,8 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     said = labels.where("doc_id IS NOT NULL").groupBy("doc_id", "annotator").agg(F.collect_set("subject_id").alias("s"))
     votes = said.groupBy("doc_id").agg(*(F.avg(F.array_contains("s", F.lit(i)).cast("double")).alias(f"y{i}") for i in ids))
     chosen = bounded_sample(votes, "doc_id", LABELLED)
-    labelled = chosen.join(documents.dropDuplicates(["doc_id"]), "doc_id").select("text", F.array(*(F.col(f"y{i}") for i in ids)).alias("y"))
+    # at most LABELLED rows, so they are sent to the documents, and only those picked are compared for repeats
+    labelled = documents.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", F.array(*(F.col(f"y{i}") for i in ids)).alias("y"))
     spread = lambda df: cut(df.repartition(PARTITIONS, F.xxhash64("text")), "training")
     first = train(spread(labelled), len(ids))
     second = train(spread(bounded_sample(documents, "doc_id", SENTENCE_DOCS).select("text")), len(ids), first)
