@@ -1,9 +1,11 @@
 """Frequency of every distinct term (problem 1): occurrences, records, and a mark of use.
 
-One pass turns each record into (term, record, times) rows, so that repeats within a record never leave their task.  The
-pairs are range-partitioned by term and record and sorted there (Spark's external sort, which spills); a scan over the
-sorted pairs counts runs.  As the range is over term *and* record, the pairs of a term that a third of all records hold
-spread over as many partitions as they need; each scan gives partial counts, which are added up at the end.
+A range-partitioned external sort of (term, record) pairs.  Each batch of records gives one sorted run of pairs with the
+number of times a record holds a term, so that repeats within a record never leave their task; runs are cut at the range
+boundaries and written to the shuffle, and each partition merges the pieces of its range and scans the runs of equal terms.
+The range is over the term's hash *and* the record, so the pairs of a term that a third of all records hold spread over as
+many partitions as they need; partitions are as many as keep one at about ``PART_PAIRS`` pairs.  The boundaries come from a
+bounded sample and decide nothing but the balance.  Each partition gives partial counts, which are added up at the end.
 """
 
 from __future__ import annotations
@@ -12,53 +14,103 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sampling import bounded_sample
 from . import kernels
 
+#: Records the range boundaries are taken from; pairs a partition holds about, at most.
+SAMPLE, PART_PAIRS = 2000, 2_000_000
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = np.asarray(batch.column(0))
-        for at, raw, offsets in kernels.text_chunks(batch.column(1)):
-            words = kernels.words_of(raw, offsets)
-            if not len(words.hash):
+
+def sorted_run(ids: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(hash, id, times) of a batch's pairs, by hash and id, and the term of each distinct hash, in order of the hashes."""
+    hashes, owners, times, names = [], [], [], {}
+    for at, raw, offsets in kernels.text_chunks(column):
+        words = kernels.words_of(raw, offsets)
+        if not len(words.hash):
+            continue
+        order = np.argsort(words.hash)
+        order = order[np.argsort(words.doc[order].astype(np.uint32), kind="stable")]
+        h, doc = words.hash[order], words.doc[order]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
+        hashes.append(h[first])
+        owners.append(ids[at + doc[first]])
+        times.append(np.diff(first, append=len(h)).astype(np.int32))
+        unique, pick = np.unique(words.hash, return_index=True)
+        for u, i in zip(unique.tolist(), pick.tolist(), strict=True):
+            if u not in names:
+                names[u] = words.folded[words.start[i] : words.end[i]].tobytes()
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), []
+    h, owner, n = np.concatenate(hashes), np.concatenate(owners), np.concatenate(times)
+    order = np.argsort(owner, kind="stable")
+    order = order[np.argsort(h[order], kind="stable")]
+    h, owner, n = h[order], owner[order], n[order]
+    return h, owner, n, [names[u] for u in h[np.flatnonzero(np.diff(h, prepend=~h[0]))].tolist()]
+
+
+def part_of(h: np.ndarray, ids: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many of the boundaries, pairs in order, are not above each pair."""
+    low, high = np.searchsorted(bounds[0], h, "left"), np.searchsorted(bounds[0], h, "right")
+    for i in np.flatnonzero(low < high):  # only pairs of a term that is itself a boundary
+        low[i] += np.searchsorted(bounds[1][low[i] : high[i]], ids[i], "right")
+    return low
+
+
+def _runs(bounds):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, ids, times, names = sorted_run(np.asarray(batch.column(0)), batch.column(1))
+            if not len(h):
                 continue
-            order = np.argsort(words.hash)
-            order = order[np.argsort(words.doc[order], kind="stable")]
-            h, doc = words.hash[order], words.doc[order]
-            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
-            times = np.diff(first, append=len(h)).astype(np.int32)
-            pick = order[first]
-            start, size = words.start[pick], words.end[pick] - words.start[pick]
-            ends = np.zeros(len(pick) + 1, np.int64)
-            np.cumsum(size, out=ends[1:])
-            body = words.folded[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
-            term = pa.LargeStringArray.from_buffers(len(pick), pa.py_buffer(ends), pa.py_buffer(body)).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([term, pa.array(ids[at + doc[first]]), pa.array(times)], names=["term", "id", "times"])
+            part = part_of(h, ids, bounds.value)
+            head = np.ones(len(h), bool)
+            head[1:] = h[1:] != h[:-1]
+            number = np.cumsum(head) - 1
+            head[1:] |= part[1:] != part[:-1]
+            first = np.flatnonzero(head)  # a piece of a run: one term in one part
+            size = np.diff(first, append=len(h)).astype(np.int32)
+            edge = np.flatnonzero(np.diff(part[first], prepend=-1))
+            to_piece = np.append(edge, len(first)).astype(np.int32)
+            to_pair = np.append(first[edge], len(h)).astype(np.int32)
+            terms = pa.array([names[k] for k in number[first].tolist()], pa.binary()).cast(pa.string())
+            lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at), values)
+            cols = [pa.array(part[first[edge]].astype(np.int32)), lists(to_piece, terms), lists(to_piece, pa.array(size)), lists(to_pair, pa.array(ids)), lists(to_pair, pa.array(times))]
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "terms", "sizes", "ids", "times"])
+
+    return run
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of sorted pairs: a pair counts once (repeats are copies of a record), a term once for each batch it reaches."""
-    last: tuple | None = None
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        term, ids, times = batch.column(0), np.asarray(batch.column(1)), np.asarray(batch.column(2)).astype(np.int64)
-        change = np.ones(n, bool)
-        change[1:] = np.asarray(pc.not_equal(term.slice(1), term.slice(0, n - 1)).to_numpy(zero_copy_only=False), bool)
-        fresh = change.copy()
-        fresh[1:] |= ids[1:] != ids[:-1]
-        if last == (term[0].as_py(), int(ids[0])):
-            fresh[0] = False
-        last = (term[n - 1].as_py(), int(ids[n - 1]))
-        at = np.flatnonzero(change)
-        yield pa.RecordBatch.from_arrays(
-            [term.take(pa.array(at)), pa.array(np.add.reduceat(np.where(fresh, times, 0), at)), pa.array(np.add.reduceat(fresh.astype(np.int64), at))], names=["term", "occurrences", "records"]
-        )
+    """Merges the pieces of a range and scans it: a pair counts once, as repeats are copies of a record."""
+    pieces = [b.column(i).flatten() for b in batches if b.num_rows for i in (1, 2, 3, 4)]
+    if not pieces:
+        return
+    coded = pa.concat_arrays(pieces[0::4]).dictionary_encode()
+    size, ids, times = (np.concatenate([np.asarray(x) for x in pieces[i::4]]) for i in (1, 2, 3))
+    code = np.repeat(np.asarray(coded.indices), size)
+    order = np.argsort(ids, kind="stable")
+    order = order[np.argsort(code[order], kind="stable")]
+    code, ids, times = code[order], ids[order], times[order].astype(np.int64)
+    fresh = np.ones(len(code), bool)
+    fresh[1:] = (code[1:] != code[:-1]) | (ids[1:] != ids[:-1])
+    at = np.flatnonzero(np.diff(code, prepend=-1))
+    cols = [coded.dictionary.take(pa.array(code[at])), pa.array(np.add.reduceat(np.where(fresh, times, 0), at)), pa.array(np.add.reduceat(fresh.astype(np.int64), at))]
+    yield pa.RecordBatch.from_arrays(cols, names=["term", "occurrences", "records"])
+
+
+def _boundaries(rows: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ids) that cut the pairs of ``rows`` into about equal parts, ``least`` or more of them."""
+    total = rows.count()
+    sample = bounded_sample(rows, "id", SAMPLE).toArrow()
+    if not sample.num_rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h, ids, *_ = sorted_run(sample.column("id").to_numpy(), sample.column("text").combine_chunks())
+    parts = max(least, -(-len(h) * total // (sample.num_rows * PART_PAIRS)))
+    at = np.unique(len(h) * np.arange(1, parts) // parts)
+    return (h[at], ids[at]) if len(h) else (h, ids)
 
 
 def term_frequencies(rows: DataFrame, rare_below: int = 3, common_share: tuple[int, int] = (1, 5)) -> DataFrame:
@@ -69,10 +121,11 @@ def term_frequencies(rows: DataFrame, rare_below: int = 3, common_share: tuple[i
     texts included; rows repeated under an id are taken as copies and count once; rows with a null id are left out.  An
     empty table gives an empty result.
     """
+    spark = rows.sparkSession
     rows = rows.select(F.col("id").cast("long"), F.col("text").cast("string")).where("id IS NOT NULL AND text IS NOT NULL")
-    pairs = rows.mapInArrow(_pairs, "term string, id long, times int")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = pairs.repartitionByRange(parts, "term", "id").sortWithinPartitions("term", "id").mapInArrow(_scan, "term string, occurrences long, records long")
+    bounds = _boundaries(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pieces = rows.mapInArrow(_runs(spark.sparkContext.broadcast(bounds)), "part int, terms array<string>, sizes array<int>, ids array<long>, times array<int>")
+    runs = pieces.repartitionById(len(bounds[0]) + 1, F.col("part")).mapInArrow(_scan, "term string, occurrences long, records long")
     total = rows.select("id").agg(F.count_distinct("id")).scalar()
     num, den = common_share
     mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") * den > total * num, "common")
