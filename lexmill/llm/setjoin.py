@@ -41,7 +41,8 @@ HOT = 4096
 #: Words of a bitmap: the first _SMALL of them for sets of at most _SMALL_SET runs, whose bits are the larger ones' folded.
 _WORDS, _SMALL, _SMALL_SET = 12, 4, 130
 BLOOM_BITS = 25
-_ONE = np.uint64(1)
+#: Signatures a partition holds about, at most.
+PART_SIGNATURES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -190,6 +191,14 @@ def _signatures(spec: SetJoin, sketch, parts: int):
                 continue
             d, s, p = (np.concatenate(x) for x in zip(*got, strict=True))
             sid, n, role = (np.concatenate(x) for x in zip(*seen, strict=True))
+            _, lead, copy_of = np.unique(sid, return_index=True, return_inverse=True)
+            if len(lead) < len(sid):  # equal sets leave a batch once, with all their roles
+                joint = np.zeros(len(lead), role.dtype)
+                np.bitwise_or.at(joint, copy_of, role)
+                role = joint[copy_of]
+                once = np.zeros(len(sid), bool)
+                once[lead] = True
+                d, s, p = d[once[d]], s[once[d]], p[once[d]]
             part = ((s >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((d, part))
             part, d, s, p = part[order], d[order], s[order], p[order]
@@ -348,7 +357,9 @@ def similar_sets(rows: DataFrame, spec: SetJoin, crossed: bool = False) -> Joine
     found = plain.where("kind = 'doc'")
     bits = [f"w{i}" for i in range(_WORDS)]
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = int(found.agg(F.sum("n")).first()[0] or 0)
+    signatures = runs * (spec.den - spec.num) // spec.den
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-signatures // PART_SIGNATURES))
     signs = rows.select("role", "text").mapInArrow(_signatures(spec, sketch, parts), "part int, sid array<long>, n array<int>, role array<int>, cnt array<int>, sig array<int>, pos array<short>")
     pairs = signs.repartitionById(parts, F.col("part")).mapInArrow(_pairs(spec, crossed), "a long, b long")
     pairs = pairs.repartition(parts, "a").dropDuplicates(["a", "b"])
