@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import linear, metrics, nbayes, splits, tfidf, vocabulary
+from ..operators import knn, linear, metrics, nbayes, splits, tfidf, vocabulary
 from ..session import cut
 from ..sources.readers import Config
 
@@ -106,3 +106,26 @@ def app_prediction(docs: DataFrame, model: TextModel | None, fallback: linear.Li
         return found.select("doc_id", "label", T.with_both_classes(F.col("probs")).alias("probs"), F.lit(None).cast("string").alias("error"))
     found = model.predict(docs)
     return found.select("doc_id", T.class_label(F.col("label")).alias("label"), T.with_both_classes(F.col("probs")).alias("probs"), F.lit(None).cast("string").alias("error"))
+
+
+def text_vectors(model: tfidf.TfIdf, docs: DataFrame, width: int) -> DataFrame:
+    """(id, v ARRAY<DOUBLE>) of ``docs(doc_id, terms)``: dense TF-IDF weights, all zeros without a known term."""
+    cells = model.weights(docs).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("m"))  # at most one a feature
+    row = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return docs.select("doc_id").join(cells, "doc_id", "left").select(F.col("doc_id").alias("id"), row.alias("v"))
+
+
+def knn_prediction(docs: DataFrame, train: DataFrame | None, model: tfidf.TfIdf | None, k: int = 9, tie: str = "nearest") -> DataFrame | None:
+    """(doc_id, label INT, probs, error) of ``docs(doc_id, terms)`` by the nearest of ``train(id, v, label)``.
+
+    None without training rows to search in; an error in each row without a TF-IDF model to read the texts by.
+    """
+    if train is None:
+        return None
+    if model is None:
+        none = F.create_map(F.lit("0"), F.lit(0.0), F.lit("1"), F.lit(0.0))
+        return docs.select("doc_id", F.lit(None).cast("int").alias("label"), none.alias("probs"), F.lit("TF-IDF vectorizer required for KNN").alias("error"))
+    width = train.select(F.size("v").alias("n")).agg(F.max("n")).first()[0] or 0
+    found = knn.predict(train, text_vectors(model, docs, width), k, tie)
+    probs = F.create_map(F.lit("0"), F.col("p0"), F.lit("1"), F.col("p1"))
+    return found.select(F.col("qid").alias("doc_id"), "label", probs.alias("probs"), F.lit(None).cast("string").alias("error"))

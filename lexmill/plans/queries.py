@@ -397,12 +397,10 @@ def knn_text(spark, folder):
     rows = rows.select(F.col("id").alias("doc_id"), split.alias("s"), T.label_number(F.col("label")).alias("label"), tfidf.terms(F.coalesce("text", F.lit("")), high=1).alias("terms"))
     rows = cut(rows, "terms")
     model = tfidf.fit(rows.where("s = 'train'"), min_df=5, max_features=300)
-    weights = model.weights(rows).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("m"))
-    full = rows.select("doc_id", "s", "label").join(weights, "doc_id", "left")
-    v = F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    full = full.select(F.col("doc_id").alias("id"), "s", "label", v.alias("v"))
-    train = full.where("s = 'train'").select("id", "label", "v")
-    return knn.predict(train, full.where("s = 'test' AND id % 20 = 0").select("id", "v"), K).select("qid", "label", r6("p0"), r6("p1"))
+    vectors = pipeline.text_vectors(model, rows.where("s = 'train'"), 300)
+    train = cut(vectors.join(rows.select(F.col("doc_id").alias("id"), "label"), "id"), "train")
+    found = pipeline.knn_prediction(rows.where("s = 'test' AND doc_id % 20 = 0"), train, model, K)
+    return found.select(F.col("doc_id").alias("qid"), "label", F.round(F.col("probs")["0"], 6).alias("p0"), F.round(F.col("probs")["1"], 6).alias("p1"))
 
 
 @query

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.functions import vectors as V
 from lexmill.operators import compare, knn, linear, metrics, nbayes, tfidf, vocabulary
-from lexmill.plans.pipeline import TextModel, app_prediction, load_text_model, train, train_linear
+from lexmill.plans.pipeline import TextModel, app_prediction, knn_prediction, load_text_model, text_vectors, train, train_linear
 from lexmill.sources.readers import Config
 
 MAILS = [(0, "buy cheap meds", "spam"), (1, "cheap cheap buy", "spam"), (2, "hello how are you", "ham"), (3, "good morning friend", "ham")]
@@ -150,3 +150,16 @@ def test_train_pipeline(spark):
     done = train(spark.createDataFrame(rows, "doc_id long, text string, label string"), Config(min_freq=2))
     report = done.report.first()
     assert report.accuracy == 1.0 and report.n_classes == 2 and done.predictions.count() == 8
+
+
+def test_knn_prediction(spark):
+    rows = [(i, ("cheap offer prize" if i % 2 else "meeting agenda project") + f" w{i % 3}", i % 2) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").select("doc_id", T.words(F.col("text")).alias("terms"), "label")
+    model = tfidf.fit(docs, min_df=2)
+    width = model.features.count()
+    train_rows = text_vectors(model, docs, width).join(docs.select(F.col("doc_id").alias("id"), "label"), "id")
+    ask = spark.createDataFrame([(1, ["prize", "offer"]), (2, ["nothing", "known"])], "doc_id long, terms array<string>")
+    got = {r.doc_id: r for r in knn_prediction(ask, train_rows, model, 3).collect()}
+    assert got[1].label == 1 and got[1].probs == {"0": 0.0, "1": 1.0} and got[2].label == 0 and got[2].error is None
+    assert knn_prediction(ask, None, model) is None
+    assert {r.error for r in knn_prediction(ask, train_rows, None).collect()} == {"TF-IDF vectorizer required for KNN"}
