@@ -28,7 +28,7 @@ from . import kernels
 #: Most labelled documents and most documents of any kind used for training; partitions they are spread over.
 LABELLED, SENTENCE_DOCS, PARTITIONS = 4000, 4000, 4
 #: Steps of a round; rounds of the second model, and most rounds of the first, which ends once it agrees with the labels.
-STEPS, ROUNDS, MOST_ROUNDS, AGREED = 16, 2, 8, 0.95
+STEPS, ROUNDS, MOST_ROUNDS, AGREED = 16, 3, 8, 0.93
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (4, 5)
 #: Chance from which the first model counts a sentence as about a subject, and how near to it a case is doubtful.
 ABOUT, DOUBT = 0.3, 0.06
@@ -41,7 +41,8 @@ def sentences(column: pa.Array):
     """(first record, words, sentence of each word, record of each sentence) by chunk.
 
     A sentence ends at ``.``, ``!`` or ``?`` before white space or the end, at an empty line, and at a line's end after a
-    comma or colon.  Stretches without words aren't sentences.
+    comma or colon.  Stretches without words aren't sentences, nor are those not ended by one of the three signs (greetings,
+    names), unless the record has no other.
     """
     for at, raw, offsets in kernels.text_chunks(column):
         words = kernels.words_of(raw, offsets, kernels.FOLD_LETTERS)
@@ -60,7 +61,16 @@ def sentences(column: pa.Array):
         mark = count[words.start]  # sentence ends before the word
         new = np.ones(len(mark), bool)
         new[1:] = (mark[1:] != mark[:-1]) | (words.doc[1:] != words.doc[:-1])
-        yield at, words, np.cumsum(new) - 1, words.doc[new]
+        number, doc = np.cumsum(new) - 1, words.doc[new]
+        closing = np.append(np.flatnonzero(ends), n)
+        close = closing[np.searchsorted(closing, words.end[np.append(new[1:], True)], "left")]
+        whole = (close < offsets[doc + 1]) & np.append(stop, False)[close]
+        whole |= np.bincount(doc[whole], minlength=words.docs)[doc] == 0
+        if not whole.all():
+            keep = whole[number]
+            words = kernels.Words(words.hash[keep], words.doc[keep], words.start[keep], words.end[keep], words.folded, words.docs)
+            number, doc = (np.cumsum(whole) - 1)[number[keep]], doc[whole]
+        yield at, words, number, doc
 
 
 def buckets_of(word: bytes) -> list[int]:

@@ -263,6 +263,7 @@ def test_subjects_held_out(spark):
 
 
 def test_sentences_are_cut():
-    texts = ["Hi Ann,\nOne two. Three 4.5 five! Six?\n\nSeven", "", "..."]
+    texts = ["Hi Ann,\nOne two. Three 4.5 five! Six?\n\nBest,\nTom", "", "...", "no end", "One two. three", "(end.)"]
     (at, words, sent, doc), *_ = subjects.sentences(pa.array(texts))
-    assert doc.tolist() == [0] * 5 and np.bincount(sent).tolist() == [2, 2, 4, 1, 1]
+    assert doc.tolist() == [0, 0, 0, 3, 4, 5] and np.bincount(sent).tolist() == [2, 4, 1, 2, 2, 1]
+    assert len(words.hash) == len(sent)
