@@ -1,14 +1,16 @@
 """k nearest neighbours by cosine, exact, with voting.
 
-Vectors are ``(id, v ARRAY<DOUBLE>)`` of one width, training rows also have ``label INT``.  Both sides are cut into blocks
-by a hash of the id; each pair of blocks is one task that multiplies matrices, and the best of all blocks are merged.  No
-side is broadcast and no block grows with the data.
+Vectors are ``(id, v ARRAY<DOUBLE>)`` of one width, training rows also have ``label INT``.  Sparse vectors also have
+``at ARRAY<INT>``, ascending: the cells that ``v`` holds, on both sides.  Both sides are cut into blocks by a hash of the
+id; each pair of blocks is one task that multiplies matrices, and the best of all blocks are merged.  No side is broadcast
+and no block grows with the data.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +25,37 @@ def unit_vectors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("v", unit(F.col("v")))
 
 
-def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
     values = flat.flatten() if isinstance(flat, pa.ListArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
-    return values.to_numpy(zero_copy_only=False).reshape(rows, -1)
+    return values.to_numpy(zero_copy_only=False)
+
+
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return _flat(column).reshape(rows, -1)
+
+
+class _Postings:
+    """Sparse rows by cell: what a query's cells meet is all that is added up."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        cells, self.size = _flat(rows.column("at")), rows.num_rows
+        order = np.argsort(cells, kind="stable")
+        self.row = np.repeat(np.arange(self.size), pc.list_value_length(rows.column("at")).to_numpy())[order]
+        self.value = _flat(rows.column("v"))[order]
+        self.end = np.cumsum(np.bincount(cells)) if len(cells) else np.zeros(0, np.int64)
+
+    def dots(self, queries: pa.Table) -> np.ndarray:
+        cells, values = _flat(queries.column("at")), _flat(queries.column("v"))
+        ends = np.cumsum(pc.list_value_length(queries.column("at")).to_numpy())
+        out = np.zeros((len(ends), self.size))
+        for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)):
+            c, v = cells[a:b], values[a:b]
+            c, v = c[c < len(self.end)], v[c < len(self.end)]
+            n = self.end[c] - np.where(c > 0, self.end[c - 1], 0)
+            at = np.arange(n.sum()) + np.repeat(self.end[c] - np.cumsum(n), n)
+            out[i] = np.bincount(self.row[at], self.value[at] * np.repeat(v, n), self.size)
+        return out
 
 
 def _block_best(k: int):
@@ -34,10 +63,15 @@ def _block_best(k: int):
         q, t, s, lab = [], [], [], []
         if queries.num_rows and train.num_rows:
             train = train.sort_by("id")
-            x, ids, labels = _matrix(train.column("v"), train.num_rows), train.column("id").to_numpy(), train.column("label").to_numpy()
+            ids, labels = train.column("id").to_numpy(), train.column("label").to_numpy()
+            if "at" in train.column_names:
+                dots = _Postings(train).dots
+            else:
+                x = _matrix(train.column("v"), train.num_rows)
+                dots = lambda part: _matrix(part.column("v"), part.num_rows) @ x.T
             for at in range(0, queries.num_rows, 256):
                 part = queries.slice(at, 256)
-                sims = np.round(_matrix(part.column("v"), part.num_rows) @ x.T, 9)
+                sims = np.round(dots(part), 9)
                 take = min(k, len(ids))
                 edge = -np.partition(-sims, take - 1, axis=1)[:, take - 1]
                 for i, qid in enumerate(part.column("id").to_numpy()):
@@ -66,9 +100,10 @@ def top_k(train: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     q_blocks = max(1, -(-queries.count() // BLOCK))
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    renewed = [F.col("id").alias("id"), F.col("v").alias("v")]  # both sides may come from one table
+    vector = [c for c in ("at", "v") if c in train.columns]
+    renewed = [F.col(c).alias(c) for c in ("id", *vector)]  # both sides may come from one table
     left = queries.select(*renewed, every(blocks).alias("b"), place(q_blocks).alias("a"))
-    right = train.select("id", "v", F.col("label").cast("int").alias("label"), place(blocks).alias("b"), every(q_blocks).alias("a"))
+    right = train.select("id", *vector, F.col("label").cast("int").alias("label"), place(blocks).alias("b"), every(q_blocks).alias("a"))
     best = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_block_best(k), "qid long, tid long, label int, sim double")
     order = Window.partitionBy("qid").orderBy(F.desc("sim"), "tid")
     return best.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)

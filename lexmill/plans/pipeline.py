@@ -115,8 +115,15 @@ def text_vectors(model: tfidf.TfIdf, docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id").join(cells, "doc_id", "left").select(F.col("doc_id").alias("id"), row.alias("v"))
 
 
+def sparse_vectors(model: tfidf.TfIdf, docs: DataFrame) -> DataFrame:
+    """(id, at ARRAY<INT>, v ARRAY<DOUBLE>) of ``docs(doc_id, terms)``: the TF-IDF weights that aren't 0 and their features."""
+    cells = model.weights(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("c"))  # at most one a feature
+    part = lambda name, kind: F.coalesce(F.col(f"c.{name}"), F.array().cast(kind))
+    return docs.select("doc_id").join(cells, "doc_id", "left").select(F.col("doc_id").alias("id"), part("idx", "array<int>").alias("at"), part("weight", "array<double>").alias("v"))
+
+
 def knn_prediction(docs: DataFrame, train: DataFrame | None, model: tfidf.TfIdf | None, k: int = 9, tie: str = "nearest") -> DataFrame | None:
-    """(doc_id, label INT, probs, error) of ``docs(doc_id, terms)`` by the nearest of ``train(id, v, label)``.
+    """(doc_id, label INT, probs, error) of ``docs(doc_id, terms)`` by the nearest of ``train(id, v, label)``, or sparse ``train(id, at, v, label)``.
 
     None without training rows to search in; an error in each row without a TF-IDF model to read the texts by.
     """
@@ -125,7 +132,10 @@ def knn_prediction(docs: DataFrame, train: DataFrame | None, model: tfidf.TfIdf
     if model is None:
         none = F.create_map(F.lit("0"), F.lit(0.0), F.lit("1"), F.lit(0.0))
         return docs.select("doc_id", F.lit(None).cast("int").alias("label"), none.alias("probs"), F.lit("TF-IDF vectorizer required for KNN").alias("error"))
-    width = train.select(F.size("v").alias("n")).agg(F.max("n")).first()[0] or 0
-    found = knn.predict(train, text_vectors(model, docs, width), k, tie)
+    if "at" in train.columns:
+        asked = sparse_vectors(model, docs)
+    else:
+        asked = text_vectors(model, docs, train.select(F.size("v").alias("n")).agg(F.max("n")).first()[0] or 0)
+    found = knn.predict(train, asked, k, tie)
     probs = F.create_map(F.lit("0"), F.col("p0"), F.lit("1"), F.col("p1"))
     return found.select(F.col("qid").alias("doc_id"), "label", probs.alias("probs"), F.lit(None).cast("string").alias("error"))

@@ -391,13 +391,13 @@ def tfidf_weights(spark, folder):
 
 @query
 def knn_text(spark, folder):
-    """Texts of the test split whose id is divisible by 20 are voted on by all texts of the train split, on TF-IDF weights."""
+    """Texts of the test split whose id is divisible by 20 are voted on by all texts of the train split, on TF-IDF weights of 5,000 1-2-grams."""
     rows = table(spark, folder, "spam_assassin_preprocessed").dropDuplicates(["id"]).where("label IS NOT NULL")
     split = F.lower(F.trim("split"))
-    rows = rows.select(F.col("id").alias("doc_id"), split.alias("s"), T.label_number(F.col("label")).alias("label"), tfidf.terms(F.coalesce("text", F.lit("")), high=1).alias("terms"))
+    rows = rows.select(F.col("id").alias("doc_id"), split.alias("s"), T.label_number(F.col("label")).alias("label"), tfidf.terms(F.coalesce("text", F.lit(""))).alias("terms"))
     rows = cut(rows, "terms")
-    model = tfidf.fit(rows.where("s = 'train'"), min_df=5, max_features=300)
-    vectors = pipeline.text_vectors(model, rows.where("s = 'train'"), 300)
+    model = tfidf.fit(rows.where("s = 'train'"), min_df=5, max_features=5000)
+    vectors = pipeline.sparse_vectors(model, rows.where("s = 'train'"))
     train = cut(vectors.join(rows.select(F.col("doc_id").alias("id"), "label"), "id"), "train")
     found = pipeline.knn_prediction(rows.where("s = 'test' AND doc_id % 20 = 0"), train, model, K)
     return found.select(F.col("doc_id").alias("qid"), "label", F.round(F.col("probs")["0"], 6).alias("p0"), F.round(F.col("probs")["1"], 6).alias("p1"))
