@@ -3,8 +3,8 @@
 Stretches of characters outside ASCII are tried under every chain of up to two wrong readings (written in one encoding,
 read in another).  Each result is compressed with a zstandard dictionary of each language; the chain whose compressed
 length plus chain cost is least is taken, and the stretch stays as it is where no chain beats leaving it alone.  The
-dictionaries are trained here, on a bounded sample of the collection itself (``SAMPLE`` texts with such characters): the
-words of every language that no chain turns into a more frequent word.  A replacement character or a C1 control marks a
+dictionaries are made here, from counts over the whole collection: the words of every language that no chain turns into a
+more frequent word, the most frequent ones that fit.  A replacement character or a C1 control marks a
 record even where nothing can be restored.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -20,10 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.sampling import bounded_sample
+from ..session import cut
 
-#: Most texts the dictionaries are trained on; all texts are searched with them.
-SAMPLE = 6000
 #: Most bytes of one language's dictionary.
 DICTIONARY_BYTES = 1 << 15
 
@@ -243,8 +241,8 @@ class Reader:
         return "\n".join(out), list(chains), lost
 
 
-def train_dictionaries(texts: list[str]) -> dict[str, bytes]:
-    """A dictionary for each language: its words with characters outside ASCII, the most frequent ones last."""
+def _line_counts(texts: Iterable[str]) -> tuple[Counter, dict[str, Counter]]:
+    """Times of each stretch outside ASCII, and of each stretch and word with such characters by the language of its line."""
     counts: dict[str, Counter] = {lang: Counter() for lang in _MARKERS}
     total: Counter = Counter()
     for text in texts:
@@ -260,33 +258,93 @@ def train_dictionaries(texts: list[str]) -> dict[str, bytes]:
             for word in _LETTERS.findall(line):
                 if not word.isascii():
                     counts[lang][word] += 1
+    return total, counts
+
+
+def _rivals(run: str) -> set[str] | None:
+    """What ``run`` may have been and must be as frequent as to be clean; None if it is garbled by its looks."""
+    if any(c == "�" or "\x80" <= c <= "\x9f" for c in run):
+        return None
+    out = set()
+    for text, chain in readings(run):
+        if chain[-1][1] == "utf-8":
+            return None
+        out |= {text, text.lower(), text.title()}
+    return out
+
+
+def _packed(lang: str, words: Iterable[str]) -> bytes:
+    """The dictionary of clean ``words``, most frequent first; they stand last in it."""
+    body, size = [], 0
+    for w in words:
+        for form in dict.fromkeys((w, w.upper(), w.title())) if lang == "ru" else (w,):
+            raw = f" {form} ".encode()
+            if size + len(raw) <= DICTIONARY_BYTES:
+                body.append(raw)
+                size += len(raw)
+    return b"".join(reversed(body)) if size >= 8 else b""
+
+
+def train_dictionaries(texts: list[str]) -> dict[str, bytes]:
+    """A dictionary for each language: its words with characters outside ASCII, the most frequent ones last."""
+    total, counts = _line_counts(texts)
     clean = {}
 
     def is_clean(run: str) -> bool:
         if run not in clean:
-            own = total[run]
-            clean[run] = not any(c == "�" or "\x80" <= c <= "\x9f" for c in run) and not any(w[-1][1] == "utf-8" or total[t] > own or total[t.lower()] > own or total[t.title()] > own for t, w in readings(run))
+            rivals = _rivals(run)
+            clean[run] = rivals is not None and all(total[t] <= total[run] for t in rivals)
         return clean[run]
 
-    out = {}
-    for lang, words in counts.items():
-        good = [w for w, n in words.most_common() if n > 1 and all(is_clean(r) for r in _RUN.findall(w))]
-        body, size = [], 0
-        for w in good:
-            for form in dict.fromkeys((w, w.upper(), w.title())) if lang == "ru" else (w,):
-                raw = f" {form} ".encode()
-                if size + len(raw) <= DICTIONARY_BYTES:
-                    body.append(raw)
-                    size += len(raw)
-        if size >= 8:
-            out[lang] = b"".join(reversed(body))
-    return out
+    ranked = lambda words: sorted((w for w, n in words.items() if n > 1), key=lambda w: (-words[w], w))
+    found = {lang: _packed(lang, (w for w in ranked(words) if all(is_clean(r) for r in _RUN.findall(w)))) for lang, words in counts.items()}
+    return {lang: words for lang, words in found.items() if words}
+
+
+def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((),) * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
 
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) as :func:`_line_counts` has it; stretches of any language have the language ``""``."""
+    for batch in batches:
+        total, counts = _line_counts(batch.column(0).to_pylist())
+        rows = [(lang, w, n) for lang, words in (("", total), *counts.items()) for w, n in words.items()]
+        yield _batch(rows, lang=pa.string(), word=pa.string(), n=pa.int64())
 
-def _reader(rows: DataFrame) -> Reader:
-    """Dictionaries from at most SAMPLE texts with characters outside ASCII, chosen by a hash of their ids."""
-    texts = bounded_sample(rows, "id", SAMPLE, among=r"text RLIKE '[^\\x00-\\x7f]'")
-    return Reader(train_dictionaries([r.text for r in texts.select("text").collect()]))
+
+def _rival_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(run, n, rival); a stretch that is garbled by its looks has the rival null."""
+    for batch in batches:
+        rows = []
+        for run, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rivals = _rivals(run)
+            rows += [(run, n, t) for t in ((None,) if rivals is None else rivals)]
+        yield _batch(rows, run=pa.string(), n=pa.int64(), rival=pa.string())
+
+
+def collection_dictionaries(rows: DataFrame) -> dict[str, bytes]:
+    """:func:`train_dictionaries` over all texts of ``rows(text)``, counted where they lie.
+
+    Only the most frequent clean words of each language that a dictionary can hold reach the driver.
+    """
+    texts = rows.where(r"text RLIKE '[^\\x00-\\x7f]'").select("text")
+    counts = texts.mapInArrow(_count_batches, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = cut(counts, "words")
+    total = counts.where("lang = ''").select(F.col("word").alias("run"), "n")
+    words = counts.where("lang <> '' AND n > 1").select("lang", "word", "n")
+    rivals = total.mapInArrow(_rival_batches, "run string, n long, rival string")
+    beaten = rivals.where("rival IS NOT NULL").join(total.select(F.col("run").alias("rival"), F.col("n").alias("other")), "rival").where("other > n")
+    garbled_runs = rivals.where("rival IS NULL").select("run").unionByName(beaten.select("run")).distinct()
+    runs = words.select("word", F.explode(F.regexp_extract_all("word", F.lit(r"[^\x00-\x7f]+"), F.lit(0))).alias("run")).distinct()
+    clean = cut(words.join(runs.join(garbled_runs, "run", "left_semi").select("word"), "word", "left_anti"), "words")
+    most = DICTIONARY_BYTES // len(" é ".encode())
+    found = {}
+    for lang in _MARKERS:
+        first = clean.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(most).select("word").collect()
+        found[lang] = _packed(lang, [r.word for r in first])
+    return {lang: words for lang, words in found.items() if words}
 
 
 def _run(reader, whole: bool):
@@ -320,6 +378,6 @@ def garbled(rows: DataFrame, restore: bool = True) -> DataFrame:
     empty and pure ASCII texts and rows with a null id have no row; an empty table gives an empty result.
     """
     rows = rows.select(F.col("id").cast("long"), F.col("text").cast("string")).where("id IS NOT NULL")
-    reader = rows.sparkSession.sparkContext.broadcast(_reader(rows))
+    reader = rows.sparkSession.sparkContext.broadcast(Reader(collection_dictionaries(rows)))
     found = rows.mapInArrow(_run(reader, restore), "id long" + ", restored string, chains string, lost boolean" * restore)
     return found.dropDuplicates(["id"])
