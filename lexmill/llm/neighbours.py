@@ -2,13 +2,14 @@
 
 On a bounded sample a neighbour graph is built exactly and cut into balanced parts; a small softmax classifier learns, for
 each sample vector, where its neighbours lie.  The classifier files every row of the collection under its most probable
-part and sends each query to its ``PROBES`` most probable ones, where candidates are ranked by exact cosine.  Parts are
+part and sends each query to its most probable ones (``PROBES`` or more), where candidates are ranked by exact cosine.  Parts are
 split into blocks of at most ``BLOCK`` rows by a hash of the row's id, so that a part holding a third of all rows is as
 many tasks as it needs; each block gives its own best, which are merged.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..operators.sampling import bounded_sample
 from ..session import cut
 
-#: Most rows the partition is learned on; rows a part should hold; parts a query visits; rows and queries in one task.
+#: Most rows the partition is learned on; rows a part should hold; parts a query visits at least; rows and queries in one task.
 SAMPLE, PART_ROWS, PROBES, BLOCK, QUERY_BLOCK = 8000, 2000, 4, 20_000, 50_000
 MOST_PARTS = 256
 GRAPH_NEIGHBOURS = 10
@@ -165,10 +166,11 @@ def _best(width: int, k: int):
     return run
 
 
-def most_similar(rows: DataFrame, k: int, key: str = "row_id", features: str = "features", queries: str | None = None, probes: int = PROBES) -> DataFrame:
+def most_similar(rows: DataFrame, k: int, key: str = "row_id", features: str = "features", queries: str | None = None, probes: int | None = None) -> DataFrame:
     """(id, neighbour, cosine, rank): for each row the ``k`` others of largest cosine that the visited parts hold.
 
-    ``queries`` is a condition on ``id`` that picks the rows that ask; all rows are indexed and, without it, all ask.
+    Without ``probes``, queries visit twice the root of the number of parts, so that neighbours of any cosine are found
+    however many parts there are.  ``queries`` is a condition on ``id`` that picks the rows that ask; all rows are indexed and, without it, all ask.
     Equal cosines are ranked by the smaller id; equal rows under different ids are neighbours.  Rows left out by
     :func:`clean` neither ask nor are found.  An empty table gives an empty result.
     """
@@ -177,6 +179,7 @@ def most_similar(rows: DataFrame, k: int, key: str = "row_id", features: str = "
     total, width = data.agg(F.count("*"), F.max(F.size("v"))).first()
     width = int(width or 1)
     parts = int(min(MOST_PARTS, max(1, round(total / PART_ROWS))))
+    probes = probes or max(PROBES, 2 * math.ceil(math.sqrt(parts)))
     sample = bounded_sample(data, "id", SAMPLE).select("v").toArrow() if parts > 1 else None
     fitted = learn_router(_unit(sample.column(0).combine_chunks(), width), parts) if sample is not None else (np.zeros((width, 1)), np.zeros(1))
     router = spark.sparkContext.broadcast(fitted)
@@ -203,5 +206,5 @@ def most_similar(rows: DataFrame, k: int, key: str = "row_id", features: str = "
 
 def similar_pairs(rows: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows one of which is among the other's ``k`` most similar, with a cosine of ``least`` or more."""
-    near = most_similar(rows, k).where(F.col("cosine") >= least - 1e-12)
+    near = most_similar(rows, k, probes=PROBES).where(F.col("cosine") >= least - 1e-12)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
