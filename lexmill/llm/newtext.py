@@ -2,8 +2,8 @@
 
 Every line gets a feature symbol from its punctuation, prefix, position and neighbouring lines; a hidden Markov model over
 the labels header, new, quoted, forwarded, signature and notice labels the lines of a mail together by its best path.  The
-model starts from the priors below and is trained here without labelled mails: best paths over a bounded sample
-(``SAMPLE`` mails) re-estimate its probabilities, with the priors as pseudo-counts.  All mails are labelled, whole.
+model starts from the priors below and is trained here without labelled mails: best paths over all mails
+re-estimate its probabilities, with the priors as pseudo-counts.  All mails are labelled, whole.
 """
 
 from __future__ import annotations
@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.sampling import bounded_sample
+from ..session import cut
 
-SAMPLE = 2000
 ROUNDS = 3
 PSEUDO = 500.0
 #: The states; a forwarded message is only entered by a line that marks one.
@@ -212,19 +211,59 @@ def best_paths(runs: list[list[int]], model: tuple[np.ndarray, np.ndarray, np.nd
     return out
 
 
+def path_counts(runs: list[list[int]], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """First labels, steps and emissions on the best paths of ``runs``, one after the other in a flat array."""
+    counts = [np.zeros(p.shape) for p in model]
+    for run, path in zip(runs, best_paths(runs, model), strict=True):
+        if len(path):
+            counts[0][path[0]] += 1
+            np.add.at(counts[1], (path[:-1], path[1:]), 1)
+            np.add.at(counts[2], (path, run), 1)
+    return np.concatenate([c.ravel() for c in counts])
+
+
+def _estimated(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model of :func:`path_counts`, with the priors as pseudo-counts."""
+    base = prior()
+    parts = np.split(found, np.cumsum([p.size for p in base])[:-1])
+    counts = [p * PSEUDO + c.reshape(p.shape) for p, c in zip(base, parts, strict=True)]
+    return tuple(c / c.sum(axis=-1, keepdims=True) for c in counts)
+
+
 def train(mails: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The model after ROUNDS of re-estimation from the best paths over ``mails``."""
-    base = prior()
     runs = [symbols(m.split("\n")) for m in mails]
-    model = base
+    model = prior()
+    for _ in range(ROUNDS):
+        model = _estimated(path_counts(runs, model))
+    return model
+
+
+def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        runs = [bytes(symbols(m.split("\n"))) for m in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.binary())], names=["id", "run"])
+
+
+def _counts(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sum(path_counts([list(r) for r in batch.column(0).to_pylist()], model.value) for batch in batches)
+        if isinstance(found, np.ndarray):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found), dtype=np.int32)), pa.array(found)], names=["cell", "n"])
+
+    return run
+
+
+def train_on_all(runs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`train` over all mails of ``runs(run)``: a round adds up one array of fixed size where the mails lie."""
+    spark = runs.sparkSession
+    model = prior()
     for _ in range(ROUNDS):
-        counts = [b * PSEUDO for b in base]
-        for run, path in zip(runs, best_paths(runs, model), strict=True):
-            if len(path):
-                counts[0][path[0]] += 1
-                np.add.at(counts[1], (path[:-1], path[1:]), 1)
-                np.add.at(counts[2], (path, run), 1)
-        model = tuple(c / c.sum(axis=-1, keepdims=True) for c in counts)
+        found = np.zeros(sum(p.size for p in model))
+        summed = runs.select("run").mapInArrow(_counts(spark.sparkContext.broadcast(model)), "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n"))
+        for r in summed.collect():
+            found[r.cell] = r.n
+        model = _estimated(found)
     return model
 
 
@@ -232,8 +271,7 @@ def _label(model, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            mails = [m.split("\n") for m in batch.column(1).to_pylist()]
-            runs = [symbols(lines) for lines in mails]
+            runs = [list(r) for r in batch.column(1).to_pylist()]
             paths = best_paths(runs, model.value)
             size = np.array([len(r) for r in runs])
             symbol = np.concatenate([np.asarray(r, np.int16) for r in runs]) if runs else np.zeros(0, np.int16)
@@ -251,8 +289,8 @@ def _label(model, every: bool):
 
 def _prepared(rows: DataFrame):
     rows = rows.select(F.col("id").cast("long"), F.col("text").cast("string")).where("id IS NOT NULL AND text IS NOT NULL")
-    sample = bounded_sample(rows, "id", SAMPLE).select("text").collect()
-    return rows, rows.sparkSession.sparkContext.broadcast(train([r.text for r in sample]))
+    runs = cut(rows.mapInArrow(_symbols, "id long, run binary"), "symbols")
+    return runs, rows.sparkSession.sparkContext.broadcast(train_on_all(runs))
 
 
 def new_lines(rows: DataFrame) -> DataFrame:
@@ -261,11 +299,11 @@ def new_lines(rows: DataFrame) -> DataFrame:
     Blank lines, null and empty texts and null ids give no row; repeated rows of an id count once; an empty table gives an
     empty result.
     """
-    rows, model = _prepared(rows)
-    return rows.mapInArrow(_label(model, False), "id long, line_no int").dropDuplicates(["id", "line_no"])
+    runs, model = _prepared(rows)
+    return runs.mapInArrow(_label(model, False), "id long, line_no int").dropDuplicates(["id", "line_no"])
 
 
 def labelled_lines(rows: DataFrame) -> DataFrame:
     """(id, line_no, label) of every line that isn't blank, see :func:`new_lines`; labels as in LABEL_NAMES."""
-    rows, model = _prepared(rows)
-    return rows.mapInArrow(_label(model, True), "id long, line_no int, label string").dropDuplicates(["id", "line_no"])
+    runs, model = _prepared(rows)
+    return runs.mapInArrow(_label(model, True), "id long, line_no int, label string").dropDuplicates(["id", "line_no"])
