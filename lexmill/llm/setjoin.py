@@ -10,7 +10,7 @@ README, with figures.
 
 Steps, each over whole tables:
 
-1. one pass gives each record's set hash, size and a parity bitmap, and the count sketch (fixed size, see SKETCH_BITS);
+1. one pass gives each record's set hash, size and a parity bitmap, and the count sketch (fixed size, see sketch_bits);
 2. a second pass emits the signatures as arrays, routed to their partitions; there they are sorted and equal ones paired,
    under the length and position filters, so that no list of a signature's records leaves its task;
 3. pairs are joined with the bitmaps: bits that differ are a lower bound of the symmetric difference (exact filter);
@@ -21,6 +21,7 @@ Equal sets are one class from step 2 on: copies add one row each to the class ta
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -31,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_shared, write_shared
+from ..session import cut, write_shared
 from . import kernels
 
-SKETCH_BITS = 22
-_CHUNK = 1 << 14
+#: Bounds of the count sketch's size; it has 2 ** bits cells, a byte each once it is summed up.
+LEAST_SKETCH_BITS, SKETCH_BITS = 14, 24
+_CHUNK, PRICE_STEPS = 1 << 14, 8
 #: Estimated document frequency from which a run is indexed only together with a second one.
 HOT = 4096
 #: Words of a bitmap: the first _SMALL of them for sets of at most _SMALL_SET runs, whose bits are the larger ones' folded.
@@ -88,16 +90,22 @@ def _parity(offsets: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(docs, width), axis=1).view(np.int64).reshape(docs, _WORDS)
 
 
-_PROFILE = "kind string, id long, role int, sid long, n int, " + ", ".join(f"w{i} long" for i in range(_WORDS)) + ", chunk int, counts array<int>"
+_PROFILE = "kind string, id long, role int, sid long, n int, " + ", ".join(f"w{i} long" for i in range(_WORDS)) + ", chunk int, cell int, counts binary"
 
 
-def _profile(spec: SetJoin):
-    names = ["kind", "id", "role", "sid", "n", *(f"w{i}" for i in range(_WORDS)), "chunk", "counts"]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * _WORDS, pa.int32(), pa.list_(pa.int32())]
+def sketch_bits(rows: DataFrame) -> int:
+    """The sketch has a cell for about six runs of ``rows``, by the plan's estimate of their size, within its bounds."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(max((size // 16).bit_length(), LEAST_SKETCH_BITS), SKETCH_BITS)
+
+
+def _profile(spec: SetJoin, bits: int):
+    names = ["kind", "id", "role", "sid", "n", *(f"w{i}" for i in range(_WORDS)), "chunk", "cell", "counts"]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * _WORDS, pa.int32(), pa.int32(), pa.binary()]
     schema = pa.schema(list(zip(names, types, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << SKETCH_BITS, np.int32)
+        cells = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             ids, roles = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1))
             for at, offsets, h in _sets(spec, batch.column(2)):
@@ -105,53 +113,55 @@ def _profile(spec: SetJoin):
                 have = np.flatnonzero(n)
                 if not len(have):
                     continue
-                np.add.at(cells, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(cells, (h >> np.uint64(64 - bits)).astype(np.int64), 1)
                 w = _parity(offsets, h)[have]
                 m = len(have)
                 cols = [pa.array(["doc"] * m), pa.array(ids[at + have], pa.int64()), pa.array(roles[at + have], pa.int32()), pa.array(_set_hash(offsets, h)[have]), pa.array(n[have], pa.int32())]
-                cols += [pa.array(np.ascontiguousarray(w[:, i])) for i in range(_WORDS)] + [pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int32()))]
+                cols += [pa.array(np.ascontiguousarray(w[:, i])) for i in range(_WORDS)] + [pa.nulls(m, t) for t in types[-3:]]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
         for c in range(0, len(cells), _CHUNK):
             part = cells[c : c + _CHUNK]
             if part.any():
-                lists = pa.ListArray.from_arrays(pa.array([0, _CHUNK], pa.int32()), pa.array(part))
-                cols = [pa.array(["sketch"]), *(pa.nulls(1, t) for t in types[1:-2]), pa.array([c // _CHUNK], pa.int32()), lists]
+                part = part.astype(np.min_scalar_type(part.max()))
+                cols = [pa.array(["sketch"]), *(pa.nulls(1, t) for t in types[1:-3]), pa.array([c // _CHUNK], pa.int32()), pa.array([part.itemsize], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     return run
 
 
 def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the sketch's pieces; gives log2 of a count + 1 in steps of 1 / 2048."""
+    """Sums the sketch's pieces; gives the sum, and log2 of each count + 1 in steps of 1 / PRICE_STEPS."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for c, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            piece = np.asarray(counts.values)
+        for c, cell, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            piece = np.frombuffer(zlib.decompress(counts), f"u{cell}")
             if c in sums:
                 sums[c] += piece
             else:
                 sums[c] = piece.astype(np.int64)
     for c, x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([(np.log2(x + 1.0) * 2048).astype(np.uint16).tobytes()])], names=["chunk", "logs"])
+        prices = np.minimum(np.round(np.log2(x + 1.0) * PRICE_STEPS), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([prices.tobytes()])], names=["chunk", "logs"])
 
 
-def _sketch(pieces: DataFrame) -> np.ndarray:
-    """The whole sketch: 2 ** SKETCH_BITS numbers of two bytes, whatever the collection's size."""
-    out = np.zeros(1 << SKETCH_BITS, np.uint16)
-    for c, logs in pieces.select("chunk", "counts").repartition("chunk").mapInArrow(_add_chunks, "chunk int, logs binary").collect():
-        out[c * _CHUNK : (c + 1) * _CHUNK] = np.frombuffer(logs, np.uint16)
+def _sketch(pieces: DataFrame, bits: int) -> np.ndarray:
+    """The whole sketch: 2 ** bits prices of a byte."""
+    out = np.zeros(1 << bits, np.uint8)
+    for c, logs in pieces.select("chunk", "cell", "counts").repartition("chunk").mapInArrow(_add_chunks, "chunk int, logs binary").collect():
+        out[c * _CHUNK : (c + 1) * _CHUNK] = np.frombuffer(logs, np.uint8)
     return out
 
 
 def _ordered(h: np.ndarray, doc: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of each record by rising price, equal prices by hash; ``h`` is sorted by record and hash."""
-    price = sketch[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    order = np.argsort((doc.astype(np.uint64) << np.uint64(17)) | price.astype(np.uint64), kind="stable")
+    bits = len(sketch).bit_length() - 1
+    price = sketch[(h >> np.uint64(64 - bits)).astype(np.int64)]
+    order = np.argsort((doc.astype(np.uint64) << np.uint64(8)) | price.astype(np.uint64), kind="stable")
     return h[order], price[order]
 
 
 def _signatures(spec: SetJoin, sketch, parts: int):
-    hot = int(np.log2(HOT + 1.0) * 2048)
+    hot = round(np.log2(HOT + 1.0) * PRICE_STEPS)
     names = ["part", "sid", "n", "role", "cnt", "sig", "pos"]
     types = [pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 4, pa.list_(pa.int16())]
 
@@ -351,11 +361,12 @@ def similar_sets(rows: DataFrame, spec: SetJoin, crossed: bool = False) -> Joine
     """
     spark = rows.sparkSession
     rows = rows.select(F.col("id").cast("long"), F.col("role").cast("int"), "text").where("id IS NOT NULL AND text IS NOT NULL")
-    table = write_shared(rows.mapInArrow(_profile(spec), _PROFILE), "profile", ("kind",))
+    bits = sketch_bits(rows)
+    table = write_shared(rows.mapInArrow(_profile(spec, bits), _PROFILE), "profile", ("kind",))
     plain = spark.read.schema(_PROFILE).parquet(table)
-    sketch = spark.sparkContext.broadcast(_sketch(plain.where("kind = 'sketch'")))
+    sketch = spark.sparkContext.broadcast(_sketch(plain.where("kind = 'sketch'"), bits))
     found = plain.where("kind = 'doc'")
-    bits = [f"w{i}" for i in range(_WORDS)]
+    words = [f"w{i}" for i in range(_WORDS)]
 
     runs = int(found.agg(F.sum("n")).first()[0] or 0)
     signatures = runs * (spec.den - spec.num) // spec.den
@@ -363,9 +374,9 @@ def similar_sets(rows: DataFrame, spec: SetJoin, crossed: bool = False) -> Joine
     signs = rows.select("role", "text").mapInArrow(_signatures(spec, sketch, parts), "part int, sid array<long>, n array<int>, role array<int>, cnt array<int>, sig array<int>, pos array<short>")
     pairs = signs.repartitionById(parts, F.col("part")).mapInArrow(_pairs(spec, crossed), "a long, b long")
     pairs = pairs.repartition(parts, "a").dropDuplicates(["a", "b"])
-    classes = found.select("sid", "n", *bits).groupBy("sid").agg(F.first("n").alias("n"), *(F.first(b).alias(b) for b in bits))
-    left = classes.select(F.col("sid").alias("a"), F.col("n").alias("na"), *(F.col(b).alias(f"a{b}") for b in bits))
-    right = classes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), *(F.col(b).alias(f"b{b}") for b in bits))
+    classes = found.select("sid", "n", *words).groupBy("sid").agg(F.first("n").alias("n"), *(F.first(b).alias(b) for b in words))
+    left = classes.select(F.col("sid").alias("a"), F.col("n").alias("na"), *(F.col(b).alias(f"a{b}") for b in words))
+    right = classes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), *(F.col(b).alias(f"b{b}") for b in words))
     unlike = _unlike(F.col("na"), F.col("nb"))
     least = F.ceil((F.col("na") + F.col("nb")) * spec.num / F.lit(spec.num + spec.den) - 1e-9)
     near = pairs.join(left, "a").join(right, "b").where(unlike <= F.col("na") + F.col("nb") - 2 * least).select("a", "b")
