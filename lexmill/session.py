@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,16 +53,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _own_folder: dict[str, str] = {}
+#: Paths of the tables of write_shared that are still there, each with what deletes it.
+_tables: dict[str, Callable[[], object]] = {}
+
+
+def _deleter(spark: SparkSession, path: str) -> Callable[[], object]:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return lambda: system.delete(target, True)
 
 
 def write_shared(df: DataFrame, name: str = "cut", partition_by: tuple[str, ...] = ()) -> str:
-    """Writes ``df`` as Parquet in the shared folder and returns the path; the table goes when the driver ends."""
+    """Writes ``df`` as Parquet in the shared folder and returns the path.
+
+    The table is deleted, on whatever file system it lies, by :func:`drop_shared`, :func:`drop_all_shared` or when the
+    driver's Python ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lexmill-{name}-{uuid.uuid4().hex}"
+    _tables[path] = _deleter(spark, path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
     return path
 
 
@@ -71,9 +84,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 def drop_shared(spark: SparkSession, path: str) -> None:
     """Deletes a table of :func:`write_shared` that is not needed any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    (_tables.pop(path, None) or _deleter(spark, path))()
+
+
+def drop_all_shared() -> None:
+    """Deletes all tables written so far: results that still read them must have been used or written elsewhere."""
+    while _tables:
+        with contextlib.suppress(Exception):  # the JVM may be gone when Python ends
+            _tables.popitem()[1]()
+
+
+atexit.register(drop_all_shared)
 
 
 def ship_package(spark: SparkSession) -> None:
