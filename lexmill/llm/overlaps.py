@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.joins import attach, hot_keys, join_split
 from ..session import cut
 from .setjoin import SetJoin, similar_sets
 
 MAIL_COPIES = SetJoin(k=3, num=1, den=2, min_words=20)
 SPLIT_COPIES = SetJoin(k=2, num=7, den=10, min_words=20)
+#: Members of a group that are paired with each other in one task.
+PAIR_BLOCK = 4096
 #: The default for near-duplicates: five words, similarity 0.8.
 STRICT = SetJoin(k=5, num=4, den=5, min_words=5)
 
@@ -25,21 +28,28 @@ def near_duplicate_groups(rows: DataFrame, spec: SetJoin = STRICT) -> DataFrame:
     found = similar_sets(rows.select("id", F.lit(0).alias("role"), "text"), spec)
     ends = found.links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("links"))
     names = connected_components(found.links).select(F.col("node").alias("sid"), "component")
-    full = found.records.join(names, "sid", "left").join(ends, "sid", "left")
+    records = cut(found.records.select("id", "sid"), "records")
+    total = records.count()
+    full = attach(records, names.join(ends, "sid"), "sid", "left", total)  # linked sets have both
     full = full.select("id", F.coalesce("component", "sid").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     full = cut(full, "groups")
     heads = full.groupBy("component").agg(F.min("id").alias("group_id"))
-    return full.join(heads, "component").select("id", "group_id", F.col("links").cast("long").alias("links"))
+    return attach(full, heads, "component", total=total).select("id", "group_id", F.col("links").cast("long").alias("links"))
 
 
 def grouped_pairs(groups: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of every two members of one group of :func:`near_duplicate_groups`.
 
-    The result is as large as the groups make it; use the groups themselves where pairs aren't asked for.
+    Members of a group of more than PAIR_BLOCK are dealt to blocks by a hash of the id, and any two blocks are one piece
+    of work.  The result is as large as the groups make it; use the groups themselves where pairs aren't asked for.
     """
-    left = groups.select(F.col("id").alias("id_a"), "group_id")
-    right = groups.select(F.col("id").alias("id_b"), "group_id")
-    return left.join(right, "group_id").where("id_a < id_b").select("id_a", "id_b")
+    groups = cut(groups.select("id", "group_id"), "members")
+    sizes = groups.groupBy("group_id").agg(F.count("*").alias("size")).where("size > 1").withColumn("n", F.ceil(F.col("size") / PAIR_BLOCK).cast("int")).drop("size")
+    members = attach(groups, sizes, "group_id").withColumn("block", F.pmod(F.xxhash64("id"), "n").cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    left = members.select(F.col("id").alias("id_a"), "group_id", F.col("block").alias("i"), each.alias("j"))
+    right = members.select(F.col("id").alias("id_b"), "group_id", each.alias("i"), F.col("block").alias("j"))
+    return left.join(right, ["group_id", "i", "j"]).where("id_a < id_b").select("id_a", "id_b")
 
 
 def cross_split_pairs(rows: DataFrame, spec: SetJoin = SPLIT_COPIES) -> DataFrame:
@@ -56,8 +66,9 @@ def cross_split_pairs(rows: DataFrame, spec: SetJoin = SPLIT_COPIES) -> DataFram
     held = records.where("role = 2").select(F.col("id").alias("e"), F.col("sid").alias("se"))
     links = found.links
     ways = links.select(F.col("a").alias("st"), F.col("b").alias("se")).unionAll(links.select(F.col("b").alias("st"), F.col("a").alias("se")))
-    near = ways.join(train, "st").join(held, "se").select("t", "e")
-    same = train.join(held, F.col("st") == F.col("se")).select("t", "e")
+    hot = hot_keys(records, "sid")  # texts that a large part of the records hold
+    near = join_split(held, join_split(train, ways, "st", hot, "t"), "se", hot, "e").select("t", "e")
+    same = join_split(train.withColumnRenamed("st", "sid"), held.withColumnRenamed("se", "sid"), "sid", hot, "t").select("t", "e")
     return near.unionAll(same).select(F.least("t", "e").alias("id_a"), F.greatest("t", "e").alias("id_b"))
 
 

@@ -10,11 +10,11 @@ README, with figures.
 
 Steps, each over whole tables:
 
-1. one pass gives each record's set hash, size and a parity bitmap, and the count sketch (fixed size, see sketch_bits);
+1. one pass gives each record's set hash, size and a parity bitmap, and the count sketch (see sketch_bits);
 2. a second pass emits the signatures as arrays, routed to their partitions; there they are sorted and equal ones paired,
    under the length and position filters, so that no list of a signature's records leaves its task;
 3. pairs are joined with the bitmaps: bits that differ are a lower bound of the symmetric difference (exact filter);
-4. the sets of the remaining records, chosen with a fixed-size Bloom filter, are joined to the pairs and intersected.
+4. the sets of the remaining records, chosen with a Bloom filter of bounded size, are joined to the pairs and intersected.
 
 Equal sets are one class from step 2 on: copies add one row each to the class table and nothing else, however many.
 """
@@ -38,13 +38,15 @@ from . import kernels
 #: Bounds of the count sketch's size; it has 2 ** bits cells, a byte each once it is summed up.
 LEAST_SKETCH_BITS, SKETCH_BITS = 14, 24
 _CHUNK, PRICE_STEPS = 1 << 14, 8
-#: Estimated document frequency from which a run is indexed only together with a second one.
-HOT = 4096
+#: A run is indexed only together with a second one from an estimated document frequency of HOT on, or of HOT_LOAD times
+#: the sketch's mean count, if that is more: then the noise of the sketch makes no run dear, however full it is.
+HOT, HOT_LOAD = 4096, 8
 #: Words of a bitmap: the first _SMALL of them for sets of at most _SMALL_SET runs, whose bits are the larger ones' folded.
 _WORDS, _SMALL, _SMALL_SET = 12, 4, 130
-BLOOM_BITS = 25
-#: Signatures a partition holds about, at most.
-PART_SIGNATURES = 2_000_000
+#: Bounds of the Bloom filter's size in bits, 16 a key between them; fuller ones let more sets through, never fewer.
+LEAST_BLOOM_BITS, BLOOM_BITS = 18, 28
+#: Signatures a partition holds about, at most; sets with one signature that are paired in one task.
+PART_SIGNATURES, LIST_BLOCK = 2_000_000, 4096
 
 
 @dataclass(frozen=True)
@@ -160,8 +162,8 @@ def _ordered(h: np.ndarray, doc: np.ndarray, sketch: np.ndarray) -> tuple[np.nda
     return h[order], price[order]
 
 
-def _signatures(spec: SetJoin, sketch, parts: int):
-    hot = round(np.log2(HOT + 1.0) * PRICE_STEPS)
+def _signatures(spec: SetJoin, sketch, parts: int, load: float):
+    hot = round(np.log2(max(HOT, HOT_LOAD * load) + 1.0) * PRICE_STEPS)
     names = ["part", "sid", "n", "role", "cnt", "sig", "pos"]
     types = [pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 4, pa.list_(pa.int16())]
 
@@ -235,7 +237,42 @@ def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.R
     return pa.RecordBatch.from_arrays(cols, names=names)
 
 
+_PAIRS = "a long, b long, sig long, block int, blocks int, entries binary"
+_ENTRY = np.dtype([("sid", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("role", "<i4")])
+
+
+def _near(spec: SetJoin, crossed: bool, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which pairs of entries of one signature pass the filters of size, position and role; ``one`` isn't the longer set."""
+    n, m = one["n"].astype(np.int64), two["n"].astype(np.int64)
+    ok = (n >= spec.need(m)) & (1 + np.minimum(n - one["pos"] - 1, m - two["pos"] - 1) >= spec.both(n, m))
+    if crossed:
+        ok &= ((one["role"] & 1) & (two["role"] >> 1) | (one["role"] >> 1) & (two["role"] & 1)) > 0
+    return ok
+
+
+class _Found:
+    """Pairs as they are found; given out, each once, as soon as they are many."""
+
+    def __init__(self) -> None:
+        self.kept, self.held = [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.kept.append((a, b))
+            self.held += len(a)
+
+    def out(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if self.held >= least:
+            a, b = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            self.kept, self.held = [], 0
+            rest = [pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), *rest], names=["a", "b", "sig", "block", "blocks", "entries"])
+
+
 def _pairs(spec: SetJoin, crossed: bool):
+    """Pairs of the sets with a signature; lists of more than LIST_BLOCK sets come out in blocks, by rising size, unpaired."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
         for batch in batches:
@@ -247,20 +284,28 @@ def _pairs(spec: SetJoin, crossed: bool):
             return
         sig, sid, n, role, pos = (np.concatenate(x) for x in zip(*got, strict=True))
         del got
+        if not len(sig):
+            return
         order = np.lexsort((sid, n, sig))
-        sig, sid, n, role, pos = (x[order] for x in (sig, sid, n, role, pos))
         new = np.ones(len(sig), bool)
+        sig, sid = sig[order], sid[order]
         new[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])
-        role = np.bitwise_or.reduceat(role, np.flatnonzero(new)) if len(role) else role
-        sig, sid, n, pos = sig[new], sid[new], n[new].astype(np.int64), pos[new].astype(np.int64)
+        entries = np.empty(int(new.sum()), _ENTRY)
+        entries["sid"], entries["n"], entries["pos"] = sid[new], n[order][new], pos[order][new]
+        entries["role"] = np.bitwise_or.reduceat(role[order], np.flatnonzero(new))
+        sig = sig[new]
+        del sid, n, role, pos, order
+        first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
+        size = np.diff(first, append=len(sig))
+        for i in np.flatnonzero(size > LIST_BLOCK):
+            blocks = -(-int(size[i]) // LIST_BLOCK)
+            for j in range(blocks):
+                piece = entries[first[i] + j * LIST_BLOCK : first[i] + min((j + 1) * LIST_BLOCK, int(size[i]))]
+                cols = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(sig[first[i]])]), pa.array([j], pa.int32()), pa.array([blocks], pa.int32()), pa.array([piece.tobytes()])]
+                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "sig", "block", "blocks", "entries"])
+        alive, step, found = np.flatnonzero(np.repeat(size <= LIST_BLOCK, size)), 1, _Found()
+        n = entries["n"].astype(np.int64)
         need = spec.need(n)
-        alive, step, kept, held = np.arange(len(sig)), 1, [], 0
-
-        def flush():
-            a, b = (np.concatenate(x) for x in zip(*kept, strict=True))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
-
         while True:
             alive = alive[alive + step < len(sig)]
             other = alive + step
@@ -268,36 +313,93 @@ def _pairs(spec: SetJoin, crossed: bool):
             alive, other = alive[good], other[good]
             if not len(alive):
                 break
-            ok = 1 + np.minimum(n[alive] - pos[alive] - 1, n[other] - pos[other] - 1) >= spec.both(n[alive], n[other])
-            if crossed:
-                ok &= ((role[alive] & 1) & (role[other] >> 1) | (role[alive] >> 1) & (role[other] & 1)) > 0
-            kept.append((sid[alive[ok]], sid[other[ok]]))
-            held += int(ok.sum())
-            if held > 2_000_000:
-                yield flush()
-                kept, held = [], 0
+            ok = _near(spec, crossed, entries[alive], entries[other])
+            found.add(entries["sid"][alive[ok]], entries["sid"][other[ok]])
+            yield from found.out(2_000_000)
             step += 1
-        if held:
-            yield flush()
+        yield from found.out()
+
+    return run
+
+
+def _block_pairs(spec: SetJoin, crossed: bool):
+    """Pairs of two blocks of one list, or within one; rows come sorted by list and pair of blocks."""
+
+    def pair(one: np.ndarray, two: np.ndarray | None, found: _Found) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(one), 512):
+            i, j = np.meshgrid(np.arange(at, min(at + 512, len(one))), np.arange(len(one if two is None else two)), indexing="ij")
+            i, j = i.ravel(), j.ravel()
+            if two is None:
+                i, j = i[i < j], j[i < j]
+            a, b = one[i], (one if two is None else two)[j]
+            ok = _near(spec, crossed, a, b)
+            found.add(a["sid"][ok], b["sid"][ok])
+            yield from found.out(2_000_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, waiting = _Found(), None
+        for batch in batches:
+            for sig, low, high, block, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                entries = np.frombuffer(raw, _ENTRY)
+                if low == high:
+                    yield from pair(entries, None, found)
+                elif waiting is None:
+                    waiting = entries  # the lower block comes first
+                else:
+                    if waiting["n"][-1] >= spec.need(entries["n"][:1].astype(np.int64))[0]:
+                        yield from pair(waiting, entries, found)
+                    waiting = None
+        yield from found.out()
+
+    return run
+
+
+def _all_pairs(lists: DataFrame, spec: SetJoin, crossed: bool, parts: int) -> DataFrame:
+    """(a, b): the pairs of :func:`_pairs`, long lists included, each pair once."""
+    lists = cut(lists, "pairs")
+    short = lists.where("a IS NOT NULL").select("a", "b")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    long = lists.where("a IS NULL").select("sig", "block", other.alias("other"), "entries").select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "entries")
+    met = long.repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high", "block").mapInArrow(_block_pairs(spec, crossed), _PAIRS)
+    return short.unionAll(met.select("a", "b")).repartition(parts, "a").dropDuplicates(["a", "b"])
+
+
+_WORD_CHUNK = 12
+
+
+def _bits(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bit = np.asarray(batch.column(0))
+            at = bit >> (_WORD_CHUNK + 6)
+            for c in np.unique(at).tolist():
+                mine = bit[at == c] & ((64 << _WORD_CHUNK) - 1)
+                words = chunks.setdefault(c, np.zeros(1 << _WORD_CHUNK, np.uint64))
+                np.bitwise_or.at(words, mine >> 6, np.uint64(1) << (mine & 63).astype(np.uint64))
+        for c, words in chunks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([words.tobytes()])], names=["chunk", "words"])
 
     return run
 
 
 def _bloom(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of 2 ** BLOOM_BITS bits over ``keys(sid)``, built in the JVM."""
-    mask = (1 << BLOOM_BITS) - 1
-    bits = keys.select(F.explode(F.array(F.col("sid").bitwiseAND(mask), F.shiftrightunsigned("sid", 30).bitwiseAND(mask))).alias("bit"))
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set")).toPandas()
-    out[words["word"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64)
+    """A Bloom filter over ``keys(sid)`` of a size that follows their number, within its bounds."""
+    most = keys.count()
+    bits = min(max((16 * most).bit_length(), LEAST_BLOOM_BITS), BLOOM_BITS)
+    mask = (1 << bits) - 1
+    hit = keys.select(F.explode(F.array(F.col("sid").bitwiseAND(mask), F.shiftrightunsigned("sid", 30).bitwiseAND(mask))).alias("bit"))
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    for c, words in hit.repartition(F.shiftright("bit", _WORD_CHUNK + 6)).mapInArrow(_bits(bits), "chunk long, words binary").collect():
+        out[c << _WORD_CHUNK : (c + 1) << _WORD_CHUNK] = np.frombuffer(words, np.uint64)
     return out
 
 
 def _maybe(bloom: np.ndarray, sid: np.ndarray) -> np.ndarray:
     out = np.ones(len(sid), bool)
     for shift in (0, 30):
-        bit = ((sid.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
-        out &= ((bloom[bit >> 6] >> (bit & 63)) & 1).astype(bool)
+        bit = (sid.view(np.uint64) >> np.uint64(shift)) & np.uint64(64 * len(bloom) - 1)
+        out &= ((bloom[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
     return out
 
 
@@ -371,9 +473,8 @@ def similar_sets(rows: DataFrame, spec: SetJoin, crossed: bool = False) -> Joine
     runs = int(found.agg(F.sum("n")).first()[0] or 0)
     signatures = runs * (spec.den - spec.num) // spec.den
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-signatures // PART_SIGNATURES))
-    signs = rows.select("role", "text").mapInArrow(_signatures(spec, sketch, parts), "part int, sid array<long>, n array<int>, role array<int>, cnt array<int>, sig array<int>, pos array<short>")
-    pairs = signs.repartitionById(parts, F.col("part")).mapInArrow(_pairs(spec, crossed), "a long, b long")
-    pairs = pairs.repartition(parts, "a").dropDuplicates(["a", "b"])
+    signs = rows.select("role", "text").mapInArrow(_signatures(spec, sketch, parts, runs / len(sketch.value)), "part int, sid array<long>, n array<int>, role array<int>, cnt array<int>, sig array<int>, pos array<short>")
+    pairs = _all_pairs(signs.repartitionById(parts, F.col("part")).mapInArrow(_pairs(spec, crossed), _PAIRS), spec, crossed, parts)
     classes = found.select("sid", "n", *words).groupBy("sid").agg(F.first("n").alias("n"), *(F.first(b).alias(b) for b in words))
     left = classes.select(F.col("sid").alias("a"), F.col("n").alias("na"), *(F.col(b).alias(f"a{b}") for b in words))
     right = classes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), *(F.col(b).alias(f"b{b}") for b in words))
@@ -382,7 +483,7 @@ def similar_sets(rows: DataFrame, spec: SetJoin, crossed: bool = False) -> Joine
     near = pairs.join(left, "a").join(right, "b").where(unlike <= F.col("na") + F.col("nb") - 2 * least).select("a", "b")
     near = cut(near, "near")
 
-    bloom = spark.sparkContext.broadcast(_bloom(near.select(F.explode(F.array("a", "b")).alias("sid"))))
+    bloom = spark.sparkContext.broadcast(_bloom(near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()))
     sets = rows.select("text").mapInArrow(_members(spec, bloom), "sid long, runs binary").dropDuplicates(["sid"])
     both = near.join(sets.select(F.col("sid").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("runs").alias("y")), "b")
     links = cut(both.select("a", "b", "x", "y").mapInArrow(_verify(spec), "a long, b long"), "links")

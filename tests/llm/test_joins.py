@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexmill.llm import kernels, overlaps, setjoin, terms
@@ -58,10 +60,12 @@ def test_word_hashes_tell_words_apart():
         assert by.setdefault(w, h) == h
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
+@pytest.mark.parametrize(("hot", "block"), [(4096, 4096), (2, 4096), (4096, 3)])
 @pytest.mark.parametrize("spec", [overlaps.MAIL_COPIES, overlaps.STRICT, setjoin.SetJoin(2, 7, 10, 20)])
-def test_links_as_brute_force(spark, monkeypatch, spec, hot):
+def test_links_as_brute_force(spark, monkeypatch, spec, hot, block):
     monkeypatch.setattr(setjoin, "HOT", hot)
+    monkeypatch.setattr(setjoin, "HOT_LOAD", 1)
+    monkeypatch.setattr(setjoin, "LIST_BLOCK", block)  # as it is pickled with the functions of this process
     texts = mails(3)
     sets = [runs(t, spec.k, spec.min_words) for t in texts]
     want = {(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j], spec)}
@@ -75,6 +79,35 @@ def test_links_as_brute_force(spark, monkeypatch, spec, hot):
     assert got == want and want
 
 
+class Value:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_full_sketch_makes_few_more_signatures():
+    """A sketch as full as at a hundred times the data at most doubles the signatures a record has."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 150) % 50_000) for _ in range(3000)]
+    spec = overlaps.MAIL_COPIES
+    sets = list(setjoin._sets(spec, pa.array(texts)))
+    runs = np.concatenate([h for *_, h in sets])
+    made = []
+    for bits in (22, 15):  # 2 ** 7 times fuller
+        counts = np.bincount((runs >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) * 200.0
+        prices = np.minimum(np.round(np.log2(counts + 1) * setjoin.PRICE_STEPS), 255).astype(np.uint8)
+        signs = setjoin._signatures(spec, Value(prices), 4, counts.mean())
+        batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts), pa.int32()), pa.array(texts)], names=["role", "text"])
+        made.append(sum(len(x) for b in signs(iter([batch])) for x in b.column(5).to_pylist()))
+    assert made[1] <= 2 * made[0]
+
+
+def test_pairs_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(overlaps, "PAIR_BLOCK", 4)
+    groups = spark.createDataFrame([(i, i % 3 // 2) for i in range(40)] + [(99, 7)], "id long, group_id long")
+    got = [tuple(r) for r in overlaps.grouped_pairs(groups).collect()]
+    assert sorted(got) == [(i, j) for i in range(40) for j in range(i + 1, 40) if i % 3 // 2 == j % 3 // 2]
+
+
 def test_groups(spark):
     groups = {r.id: (r.group_id, r.links) for r in overlaps.near_duplicate_groups(odd(spark).select("id", "text"), overlaps.MAIL_COPIES).collect()}
     assert set(groups) == {1, 2, 6, 7, 9}
