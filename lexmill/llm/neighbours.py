@@ -1,16 +1,19 @@
-"""Most similar vectors for every vector (problem 5): learned partitions.
+"""Most similar vectors for every vector (problem 5): learned partitions, on two levels.
 
-On a bounded sample a neighbour graph is built exactly and cut into balanced parts; a small softmax classifier learns, for
-each sample vector, where its neighbours lie.  The classifier files every row of the collection under its most probable
-part and sends each query to its most probable ones (``PROBES`` or more), where candidates are ranked by exact cosine.  Parts are
-split into blocks of at most ``BLOCK`` rows by a hash of the row's id, so that a part holding a third of all rows is as
-many tasks as it needs; each block gives its own best, which are merged.
+On a bounded sample a neighbour graph is built exactly and cut into balanced coarse parts; a small softmax classifier
+learns, for each sample vector, where its neighbours lie.  A bounded sample of every coarse part is then cut into fine parts
+in the same way, one coarse part a task, so that the rows fitted on grow with the number of parts.  The classifiers file
+every row of the collection under its most probable fine part and send each query to its most probable ones, where
+candidates are ranked by exact cosine.  A fine part should hold ``PART_ROWS`` rows however large the table is, so that the
+work of a query doesn't grow with it.  Parts are split into blocks of at most ``BLOCK`` rows by a hash of the row's id, so
+that a part holding a third of all rows is as many tasks as it needs; each block gives its own best, which are merged.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +23,16 @@ from pyspark.sql import functions as F
 from ..operators.sampling import bounded_sample
 from ..session import cut
 
-#: Most rows the partition is learned on; rows a part should hold; parts a query visits at least; rows and queries in one task.
-SAMPLE, PART_ROWS, PROBES, BLOCK, QUERY_BLOCK = 8000, 2000, 4, 20_000, 50_000
-MOST_PARTS = 256
+#: Most rows the coarse parts are learned on, and most rows the fine parts of one coarse part are learned on.
+SAMPLE, FINE_SAMPLE = 8000, 2000
+#: Rows a fine part should hold; parts that a smaller table is still cut into, with LEAST_ROWS rows each or more.
+PART_ROWS, LEAST_PARTS, LEAST_ROWS = 2000, 16, 8
+#: Fine parts a query visits for neighbours of large cosine, and for neighbours of any; coarse parts it looks into.
+PROBES, WIDE_PROBES, LOOKS = 6, 16, 8
+#: Rows and queries in one task.
+BLOCK, QUERY_BLOCK = 20_000, 50_000
+#: Most bytes of the fine classifiers, which are sent to all executors; tables that would need more get larger parts.
+ROUTER_BYTES = 1 << 26
 GRAPH_NEIGHBOURS = 10
 
 
@@ -96,44 +106,108 @@ def balanced_parts(x: np.ndarray, parts: int, rng: np.random.Generator) -> tuple
     return part, near
 
 
-def learn_router(x: np.ndarray, parts: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of a softmax classifier from a unit vector to the parts that hold it and its neighbours."""
+def learn_router(x: np.ndarray, parts: int, seed: int = 5) -> np.ndarray:
+    """Weights (width + 1, parts) of a softmax classifier from a unit vector to the parts that hold it and its neighbours."""
     rng = np.random.default_rng(seed)
     n, width = x.shape
-    if parts < 2 or n <= parts:
-        return np.zeros((width, 1)), np.zeros(1)
+    parts = max(min(parts, n // 2), 1)
+    out = np.zeros((width + 1, parts))
+    if parts < 2:
+        return out.astype(np.float32)
     part, near = balanced_parts(x, parts, rng)
     target = np.zeros((n, parts))
     np.add.at(target, (np.arange(n), part), 3)
     np.add.at(target, (np.repeat(np.arange(n), near.shape[1]), part[near].ravel()), 1)
     target /= target.sum(axis=1, keepdims=True)
-    w, b = np.zeros((width, parts)), np.zeros(parts)
-    m, v = np.zeros((width + 1, parts)), np.zeros((width + 1, parts))
+    m, v = np.zeros_like(out), np.zeros_like(out)
     for t in range(1, 301):
-        z = x @ w + b
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        e = (p - target) / n
-        g = np.vstack([x.T @ e + 1e-5 * w, e.sum(axis=0)])
+        e = (np.exp(_log_softmax(x @ out[:-1] + out[-1])) - target) / n
+        g = np.vstack([x.T @ e + 1e-5 * out[:-1], e.sum(axis=0)])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w -= step[:-1]
-        b -= step[-1]
-    return w, b
+        out -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+    return out.astype(np.float32)
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+@dataclass
+class Router:
+    """The classifiers of both levels; fine parts are numbered through, those of coarse part ``c`` from ``first[c]`` on."""
+
+    coarse: np.ndarray
+    fine: list[np.ndarray]
+
+    def __post_init__(self) -> None:
+        self.first = np.cumsum([0, *(f.shape[1] for f in self.fine)])
+
+    @property
+    def width(self) -> int:
+        return len(self.coarse) - 1
+
+    def best(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The most probable fine parts of each row, -1 where there are fewer: coarse and fine chances are multiplied."""
+        chance = _log_softmax(x @ self.coarse[:-1] + self.coarse[-1])
+        looks = min(LOOKS, chance.shape[1])
+        looked = np.argsort(-chance, axis=1, kind="stable")[:, :looks]
+        most = max(f.shape[1] for f in self.fine)
+        score = np.full((len(x), looks * most), -np.inf)
+        name = np.full((len(x), looks * most), -1)
+        for c, f in enumerate(self.fine):
+            row, turn = np.nonzero(looked == c)
+            if len(row):
+                at = (turn * most)[:, None] + np.arange(f.shape[1])
+                score[row[:, None], at] = _log_softmax(x[row] @ f[:-1] + f[-1]) + chance[row, c][:, None]
+                name[row[:, None], at] = self.first[c] + np.arange(f.shape[1])
+        order = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+        return np.take_along_axis(name, order, axis=1)
+
+
+def part_counts(total: int, width: int) -> tuple[int, int]:
+    """How many coarse parts a table is cut into, and each of them into how many fine ones."""
+    parts = max(total // PART_ROWS, min(LEAST_PARTS, total // LEAST_ROWS), 1)
+    parts = min(parts, max(ROUTER_BYTES // (4 * (width + 1)), 1))
+    coarse = math.isqrt(parts)
+    return coarse, -(-parts // coarse)
+
+
+def _fit_fine(width: int, fine: int):
+    def run(table: pa.Table) -> pa.Table:
+        weights = learn_router(_unit(table.sort_by("id").column("v").combine_chunks(), width), fine)
+        return pa.table({"coarse": table.column("coarse")[:1], "weights": pa.array([weights.tobytes()])})
+
+    return run
+
+
+def learn(data: DataFrame, total: int, width: int) -> Router:
+    """The classifiers for ``data(id, v)``."""
+    spark = data.sparkSession
+    coarse, fine = part_counts(total, width)
+    sample = bounded_sample(data, "id", SAMPLE).select("v").toArrow()
+    x = _unit(sample.column(0).combine_chunks(), width) if sample.num_rows else np.zeros((0, width))
+    top = learn_router(x, coarse)
+    told = spark.sparkContext.broadcast(Router(top, [np.zeros((width + 1, 1), np.float32)] * top.shape[1]))
+    filed = data.mapInArrow(_route(told, 1), "id long, v array<float>, part int").withColumnRenamed("part", "coarse")
+    # a coarse part of this share of the rows gives about twice FINE_SAMPLE of them, smaller ones all they can
+    turn = F.xxhash64("id", F.lit(3))
+    limit = min(2.0 * FINE_SAMPLE * top.shape[1] / max(total, 1), 1.0)
+    few = filed.where(F.pmod(turn, F.lit(1 << 30)) < int(limit * (1 << 30))).withColumn("rn", F.row_number().over(Window.partitionBy("coarse").orderBy(turn, "id"))).where(F.col("rn") <= FINE_SAMPLE)
+    fitted = few.groupBy("coarse").applyInArrow(_fit_fine(width, fine), "coarse int, weights binary")
+    found = {r.coarse: np.frombuffer(r.weights, np.float32).reshape(width + 1, -1) for r in fitted.collect()}
+    return Router(top, [found.get(c, np.zeros((width + 1, 1), np.float32)) for c in range(top.shape[1])])
 
 
 def _route(router, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = router.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            z = _unit(batch.column(1), w.shape[0]) @ w + b
-            k = min(probes, z.shape[1])
-            best = np.argsort(-z, axis=1, kind="stable")[:, :k]
-            row = pa.array(np.repeat(np.arange(len(z)), k))
-            cols = [batch.column(0).take(row), batch.column(1).take(row), pa.array(best.ravel().astype(np.int32)), pa.array(np.tile(np.arange(k), len(z)).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "v", "part", "turn"])
+            for at in range(0, batch.num_rows, 4096):
+                piece = batch.slice(at, 4096)
+                best = router.value.best(_unit(piece.column(1), router.value.width), probes)
+                row, turn = np.nonzero(best >= 0)
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(row), piece.column(1).take(row), pa.array(best[np.asarray(row), turn].astype(np.int32))], names=["id", "v", "part"])
 
     return run
 
@@ -166,37 +240,33 @@ def _best(width: int, k: int):
     return run
 
 
-def most_similar(rows: DataFrame, k: int, key: str = "row_id", features: str = "features", queries: str | None = None, probes: int | None = None) -> DataFrame:
+def most_similar(rows: DataFrame, k: int, key: str = "row_id", features: str = "features", queries: str | None = None, probes: int = WIDE_PROBES) -> DataFrame:
     """(id, neighbour, cosine, rank): for each row the ``k`` others of largest cosine that the visited parts hold.
 
-    Without ``probes``, queries visit twice the root of the number of parts, so that neighbours of any cosine are found
-    however many parts there are.  ``queries`` is a condition on ``id`` that picks the rows that ask; all rows are indexed and, without it, all ask.
-    Equal cosines are ranked by the smaller id; equal rows under different ids are neighbours.  Rows left out by
-    :func:`clean` neither ask nor are found.  An empty table gives an empty result.
+    ``queries`` is a condition on ``id`` that picks the rows that ask; all rows are indexed and, without it, all ask.
+    ``probes`` is how many parts a query visits.  Equal cosines are ranked by the smaller id; equal rows under different
+    ids are neighbours.  Rows left out by :func:`clean` neither ask nor are found.  An empty table gives an empty result.
     """
     spark = rows.sparkSession
     data = cut(clean(rows, key, features), "vectors")
     total, width = data.agg(F.count("*"), F.max(F.size("v"))).first()
     width = int(width or 1)
-    parts = int(min(MOST_PARTS, max(1, round(total / PART_ROWS))))
-    probes = probes or max(PROBES, 2 * math.ceil(math.sqrt(parts)))
-    sample = bounded_sample(data, "id", SAMPLE).select("v").toArrow() if parts > 1 else None
-    fitted = learn_router(_unit(sample.column(0).combine_chunks(), width), parts) if sample is not None else (np.zeros((width, 1)), np.zeros(1))
-    router = spark.sparkContext.broadcast(fitted)
+    router = spark.sparkContext.broadcast(learn(data, total, width))
     asked = data.where(queries) if queries else data
-    filed = data.mapInArrow(_route(router, 1), "id long, v array<float>, part int, turn int").drop("turn")
-    sent = asked.mapInArrow(_route(router, probes), "id long, v array<float>, part int, turn int").drop("turn")
-    # at most MOST_PARTS rows each
-    rows_in = {r.part: r.n for r in filed.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    asks_in = {r.part: r.n for r in sent.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    filed = cut(data.mapInArrow(_route(router, 1), "id long, v array<float>, part int"), "filed")
+    sent = asked.mapInArrow(_route(router, probes), "id long, v array<float>, part int")
+    rows_in = filed.groupBy("part").agg(F.count("*").alias("rows_in"))
+    asks_in = sent.groupBy("part").agg(F.count("*").alias("asks_in"))
+    # a part of more rows or queries than a task should have is as many tasks as it takes; few parts are that large
+    sizes = rows_in.join(asks_in, "part", "full").selectExpr("part", f"int(ceil(coalesce(rows_in, 1) / {BLOCK})) AS r", f"int(ceil(coalesce(asks_in, 1) / {QUERY_BLOCK})) AS q")
+    large = {x.part: (x.r, x.q) for x in sizes.where("r > 1 OR q > 1").collect()}
 
-    def splits(counts: dict[int, int], size: int):
-        many = [(p, -(-n // size)) for p, n in counts.items() if n > size]
-        return F.coalesce(F.create_map(*[F.lit(x).cast("int") for pair in many for x in pair])[F.col("part")], F.lit(1)) if many else F.lit(1)
+    def splits(i: int):
+        return F.coalesce(F.create_map(*[F.lit(x) for p, n in large.items() for x in (p, n[i])])[F.col("part")], F.lit(1)) if large else F.lit(1)
 
     up_to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     mine = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    by_rows, by_asks = splits(rows_in, BLOCK), splits(asks_in, QUERY_BLOCK)
+    by_rows, by_asks = splits(0), splits(1)
     left = sent.select("id", "v", "part", mine(by_asks).alias("a"), up_to(by_rows).alias("b"))
     right = filed.select("id", "v", "part", up_to(by_asks).alias("a"), mine(by_rows).alias("b"))
     found = left.groupBy("part", "a", "b").cogroup(right.groupBy("part", "a", "b")).applyInArrow(_best(width, k), "id long, neighbour long, cosine double")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.vectors import filled
+from ..operators import knn
 
 from . import encoding, mixing, neighbours, newtext, overlaps, packing, subjects, terms
 
@@ -57,6 +61,15 @@ def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.selectExpr("id AS row_id", "neighbour", "round(cosine, 6) AS cosine", "CAST(rank AS INT) AS rank")
 
 
+def p5_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """(pairs, enough): the true neighbours of cosine 0.8 and more of the rows whose id is divisible by 20, and whether nine tenths of them are found."""
+    rows = _table(spark, folder, "train_tfidf_features")
+    near = neighbours.most_similar(rows, 5, queries="id % 20 = 0", probes=neighbours.PROBES).select(F.col("id").alias("qid"), F.col("neighbour").alias("tid"), F.lit(1).alias("hit"))
+    once = rows.where("row_id IS NOT NULL").dropDuplicates(["row_id"]).where("exists(features, x -> x <> 0)").select(F.col("row_id").alias("id"), filled(F.col("features"), 272).alias("v"), F.lit(0).alias("label"))
+    true = knn.top_k(once, once.where("id % 20 = 0").select("id", "v"), 6).where("qid <> tid").withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("rn"))).where("r <= 5 AND sim >= 0.8 - 1e-12")
+    return true.join(near, ["qid", "tid"], "left").agg(F.count("*").alias("pairs"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return newtext.new_lines(_mails(spark, folder))
 
@@ -93,4 +106,4 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _areas(spark, folder, True).selectExpr("doc_id", "subject_id", "round(share, 6) AS share")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_restored, p5_found, p5_neighbours, p6_found, p6_labelled_lines, p7_packed, p7_report, p8_copies, p8_report, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_restored, p5_found, p5_neighbours, p5_recall, p6_found, p6_labelled_lines, p7_packed, p7_report, p8_copies, p8_report, p9_found, p9_shares)}
