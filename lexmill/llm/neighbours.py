@@ -3,10 +3,11 @@
 On a bounded sample a neighbour graph is built exactly and cut into balanced coarse parts; a small softmax classifier
 learns, for each sample vector, where its neighbours lie.  A bounded sample of every coarse part is then cut into fine parts
 in the same way, one coarse part a task, so that the rows fitted on grow with the number of parts.  The classifiers file
-every row of the collection under its most probable fine part and send each query to its most probable ones, where
+every row of the collection under its most probable fine part and send each query to the most probable ones, where
 candidates are ranked by exact cosine.  A fine part should hold ``PART_ROWS`` rows however large the table is, so that the
-work of a query doesn't grow with it.  Parts are split into blocks of at most ``BLOCK`` rows by a hash of the row's id, so
-that a part holding a third of all rows is as many tasks as it needs; each block gives its own best, which are merged.
+work of a query doesn't grow with it.  A coarse part is one task, so that a query is sent once for all the fine parts it
+visits there.  Coarse parts are split into blocks of at most ``BLOCK`` rows by a hash of the row's id, so that one holding
+a third of all rows is as many tasks as it needs; each block gives its own best, which are merged.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from ..session import cut
 #: Most rows the coarse parts are learned on, and most rows the fine parts of one coarse part are learned on.
 SAMPLE, FINE_SAMPLE = 8000, 2000
 #: Rows a fine part should hold; parts that a smaller table is still cut into, with LEAST_ROWS rows each or more.
-PART_ROWS, LEAST_PARTS, LEAST_ROWS = 2000, 16, 8
+PART_ROWS, LEAST_PARTS, LEAST_ROWS = 250, 64, 8
 #: Fine parts a query visits for neighbours of large cosine, and for neighbours of any; coarse parts it looks into.
-PROBES, WIDE_PROBES, LOOKS = 6, 16, 8
+PROBES, WIDE_PROBES, LOOKS = 24, 64, 12
 #: Rows and queries in one task.
 BLOCK, QUERY_BLOCK = 20_000, 50_000
 #: Most bytes of the fine classifiers, which are sent to all executors; tables that would need more get larger parts.
@@ -43,17 +44,34 @@ def clean(rows: DataFrame, key: str, features: str) -> DataFrame:
     """
     cell = lambda x: F.coalesce(F.when(F.isnan(x), None).otherwise(x), F.lit(0.0)).cast("float")
     kept = rows.select(F.col(key).cast("long").alias("id"), F.transform(features, cell).alias("v")).where("id IS NOT NULL AND exists(v, x -> x <> 0)")
-    return kept.dropDuplicates(["id"])
+    return kept.mapInArrow(_packed, "id long, v binary").dropDuplicates(["id"])
 
 
-def _unit(column: pa.ListArray, width: int) -> np.ndarray:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cells = batch.column(1)
+        at = (4 * np.asarray(cells.offsets)).astype(np.int32)
+        values = np.ascontiguousarray(cells.values.to_numpy(zero_copy_only=False), np.float32)
+        v = pa.Array.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(at), pa.py_buffer(values)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), v], names=["id", "v"])
+
+
+def _unit(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     """Rows of unit length; missing last cells are 0."""
-    offsets = np.asarray(column.offsets)
-    values = np.asarray(column.values.to_numpy(zero_copy_only=False), np.float64)
-    size = np.diff(offsets)
-    out = np.zeros((len(size), width))
-    row = np.repeat(np.arange(len(size)), size)
-    out[row, np.arange(offsets[0], offsets[-1]) - np.repeat(offsets[:-1], size)] = values[offsets[0] : offsets[-1]]
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, width))
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1] // 4
+    values = np.frombuffer(column.buffers()[2], np.float32, at[-1] - at[0], 4 * int(at[0])).astype(np.float64)
+    size = np.diff(at)
+    if (size == width).all():
+        out = values.reshape(-1, width)
+    else:
+        out = np.zeros((len(size), width))
+        row = np.repeat(np.arange(len(size)), size)
+        out[row, np.arange(len(values)) - np.repeat(at[:-1] - at[0], size)] = values
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
@@ -164,6 +182,9 @@ class Router:
         order = np.argsort(-score, axis=1, kind="stable")[:, :probes]
         return np.take_along_axis(name, order, axis=1)
 
+    def coarse_of(self, part: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, part, "right") - 1
+
 
 def part_counts(total: int, width: int) -> tuple[int, int]:
     """How many coarse parts a table is cut into, and each of them into how many fine ones."""
@@ -175,7 +196,7 @@ def part_counts(total: int, width: int) -> tuple[int, int]:
 
 def _fit_fine(width: int, fine: int):
     def run(table: pa.Table) -> pa.Table:
-        weights = learn_router(_unit(table.sort_by("id").column("v").combine_chunks(), width), fine)
+        weights = learn_router(_unit(table.sort_by("id").column("v"), width), fine)
         return pa.table({"coarse": table.column("coarse")[:1], "weights": pa.array([weights.tobytes()])})
 
     return run
@@ -186,10 +207,10 @@ def learn(data: DataFrame, total: int, width: int) -> Router:
     spark = data.sparkSession
     coarse, fine = part_counts(total, width)
     sample = bounded_sample(data, "id", SAMPLE).select("v").toArrow()
-    x = _unit(sample.column(0).combine_chunks(), width) if sample.num_rows else np.zeros((0, width))
+    x = _unit(sample.column(0), width)
     top = learn_router(x, coarse)
     told = spark.sparkContext.broadcast(Router(top, [np.zeros((width + 1, 1), np.float32)] * top.shape[1]))
-    filed = data.mapInArrow(_route(told, 1), "id long, v array<float>, part int").withColumnRenamed("part", "coarse")
+    filed = data.mapInArrow(_route(told, 1), _ROUTED).withColumnRenamed("part", "coarse")
     # a coarse part of this share of the rows gives about twice FINE_SAMPLE of them, smaller ones all they can
     turn = F.xxhash64("id", F.lit(3))
     limit = min(2.0 * FINE_SAMPLE * top.shape[1] / max(total, 1), 1.0)
@@ -199,43 +220,80 @@ def learn(data: DataFrame, total: int, width: int) -> Router:
     return Router(top, [found.get(c, np.zeros((width + 1, 1), np.float32)) for c in range(top.shape[1])])
 
 
+_ROUTED = "id long, v binary, part int, fine binary"
+
+
 def _route(router, probes: int):
+    """A row for each coarse part a row is sent to, with the fine parts it visits there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = router.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                piece = batch.slice(at, 4096)
-                best = router.value.best(_unit(piece.column(1), router.value.width), probes)
+            for begin in range(0, batch.num_rows, 1024):
+                piece = batch.slice(begin, 1024)
+                best = r.best(_unit(piece.column(1), r.width), probes)
                 row, turn = np.nonzero(best >= 0)
-                row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(row), piece.column(1).take(row), pa.array(best[np.asarray(row), turn].astype(np.int32))], names=["id", "v", "part"])
+                fine = best[row, turn]
+                coarse = r.coarse_of(fine)
+                order = np.lexsort((fine, coarse, row))
+                row, fine, coarse = row[order], fine[order].astype(np.int32), coarse[order]
+                first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(coarse, prepend=-1) != 0))
+                at = (4 * np.append(first, len(row))).astype(np.int32)
+                visits = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(fine))])
+                pick = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(pick), piece.column(1).take(pick), pa.array(coarse[first].astype(np.int32)), visits], names=["id", "v", "part", "fine"])
 
     return run
 
 
+def _visits(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, fine part) of every visit."""
+    column = column.combine_chunks()
+    fine = [np.frombuffer(x, np.int32) for x in column.to_pylist()]
+    return np.repeat(np.arange(len(fine)), [len(f) for f in fine]), np.concatenate(fine)
+
+
+def _first_of_row(row: np.ndarray, cosine: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest cosines of each row, equal ones by the smaller id."""
+    order = np.lexsort((ids, -cosine, row))
+    row = row[order]
+    start = np.flatnonzero(np.diff(row, prepend=-1))
+    return order[np.arange(len(row)) - np.repeat(start, np.diff(start, append=len(row))) < k]
+
+
 def _best(width: int, k: int):
     def run(_, queries: pa.Table, index: pa.Table) -> pa.Table:
-        out_q, out_i, out_s = [], [], []
+        rows, ids, cosines = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if queries.num_rows and index.num_rows:
-            index = index.sort_by("id")
-            ids, x = index.column("id").to_numpy(), _unit(index.column("v").combine_chunks(), width)
-            for at in range(0, queries.num_rows, 512):
-                piece = queries.slice(at, 512)
-                q = piece.column("id").to_numpy()
-                s = _unit(piece.column("v").combine_chunks(), width) @ x.T
-                s = np.round(s, 12)
-                s[q[:, None] == ids[None, :]] = -3
-                take = min(k, s.shape[1])
-                # equal cosines: the smaller id first; ids are in order, so a stable sort of all that tie with the k-th
-                edge = -np.partition(-s, take - 1, axis=1)[:, take - 1]
-                for r in range(len(q)):
-                    c = np.flatnonzero(s[r] >= edge[r])
-                    c = c[np.argsort(-s[r, c], kind="stable")[:take]]
-                    c = c[s[r, c] > -2]
-                    out_q.append(np.full(len(c), q[r]))
-                    out_i.append(ids[c])
-                    out_s.append(s[r, c])
-        join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        return pa.table({"id": join(out_q, np.int64), "neighbour": join(out_i, np.int64), "cosine": join(out_s, np.float64)})
+            owner, fine = _visits(index.column("fine"))
+            order = np.lexsort((index.column("id").to_numpy(), fine))
+            name, x, fine = index.column("id").to_numpy()[owner[order]], _unit(index.column("v"), width)[owner[order]], fine[order]
+            asker, asked = _visits(queries.column("fine"))
+            by = np.argsort(asked, kind="stable")
+            asker, asked = asker[by], asked[by]
+            q, own = _unit(queries.column("v"), width), queries.column("id").to_numpy()
+            for f in np.unique(fine).tolist():
+                lo, hi = np.searchsorted(fine, [f, f + 1])
+                a, b = np.searchsorted(asked, [f, f + 1])
+                step = max(1, 2_000_000 // int(hi - lo))
+                for at in range(a, b, step):
+                    who = asker[at : min(at + step, b)]
+                    s = np.round(q[who] @ x[lo:hi].T, 12)
+                    me = np.minimum(np.searchsorted(name[lo:hi], own[who]), hi - lo - 1)
+                    mine = np.flatnonzero(name[lo + me] == own[who])
+                    s[mine, me[mine]] = -3
+                    take = min(k, int(hi - lo))
+                    edge = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take]
+                    i, j = np.nonzero((s >= edge[:, None]) & (s > -2))
+                    kept = _first_of_row(i, s[i, j], j, k)
+                    i, j = i[kept], j[kept]
+                    rows.append(who[i])
+                    ids.append(name[lo + j])
+                    cosines.append(s[i, j])
+        row, near, cosine = (np.concatenate(x) for x in (rows, ids, cosines))
+        kept = _first_of_row(row, cosine, near, k)
+        own = queries.column("id").to_numpy() if queries.num_rows else row
+        return pa.table({"id": own[row[kept]].astype(np.int64), "neighbour": near[kept], "cosine": cosine[kept]})
 
     return run
 
@@ -249,12 +307,12 @@ def most_similar(rows: DataFrame, k: int, key: str = "row_id", features: str = "
     """
     spark = rows.sparkSession
     data = cut(clean(rows, key, features), "vectors")
-    total, width = data.agg(F.count("*"), F.max(F.size("v"))).first()
-    width = int(width or 1)
+    total, width = data.agg(F.count("*"), F.max(F.octet_length("v"))).first()
+    width = max((width or 0) // 4, 1)
     router = spark.sparkContext.broadcast(learn(data, total, width))
     asked = data.where(queries) if queries else data
-    filed = cut(data.mapInArrow(_route(router, 1), "id long, v array<float>, part int"), "filed")
-    sent = asked.mapInArrow(_route(router, probes), "id long, v array<float>, part int")
+    filed = cut(data.mapInArrow(_route(router, 1), _ROUTED), "filed")
+    sent = asked.mapInArrow(_route(router, probes), _ROUTED)
     rows_in = filed.groupBy("part").agg(F.count("*").alias("rows_in"))
     asks_in = sent.groupBy("part").agg(F.count("*").alias("asks_in"))
     # a part of more rows or queries than a task should have is as many tasks as it takes; few parts are that large
@@ -267,8 +325,8 @@ def most_similar(rows: DataFrame, k: int, key: str = "row_id", features: str = "
     up_to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     mine = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     by_rows, by_asks = splits(0), splits(1)
-    left = sent.select("id", "v", "part", mine(by_asks).alias("a"), up_to(by_rows).alias("b"))
-    right = filed.select("id", "v", "part", up_to(by_asks).alias("a"), mine(by_rows).alias("b"))
+    left = sent.select("id", "v", "fine", "part", mine(by_asks).alias("a"), up_to(by_rows).alias("b"))
+    right = filed.select("id", "v", "fine", "part", up_to(by_asks).alias("a"), mine(by_rows).alias("b"))
     found = left.groupBy("part", "a", "b").cogroup(right.groupBy("part", "a", "b")).applyInArrow(_best(width, k), "id long, neighbour long, cosine double")
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
