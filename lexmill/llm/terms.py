@@ -52,11 +52,14 @@ def sorted_run(ids: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarra
 
 
 def part_of(h: np.ndarray, ids: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """How many of the boundaries, pairs in order, are not above each pair."""
-    low, high = np.searchsorted(bounds[0], h, "left"), np.searchsorted(bounds[0], h, "right")
-    for i in np.flatnonzero(low < high):  # only pairs of a term that is itself a boundary
-        low[i] += np.searchsorted(bounds[1][low[i] : high[i]], ids[i], "right")
-    return low
+    """How many of the boundaries, pairs in order, are not above each pair; the pairs ``(h, ids)`` are in order too.
+
+    The boundaries are looked up among the pairs, so that the work is in their number, whatever terms they fall on.
+    """
+    low, high = np.searchsorted(h, bounds[0], "left"), np.searchsorted(h, bounds[0], "right")
+    for i in np.flatnonzero(low < high):
+        low[i] += np.searchsorted(ids[low[i] : high[i]], bounds[1][i], "left")
+    return np.cumsum(np.bincount(low, minlength=len(h) + 1))[: len(h)]
 
 
 def _runs(bounds):
@@ -90,9 +93,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     coded = pa.concat_arrays(pieces[0::4]).dictionary_encode()
     size, ids, times = (np.concatenate([np.asarray(x) for x in pieces[i::4]]) for i in (1, 2, 3))
+    names = kernels.string_array(coded.dictionary)
+    words = [kernels.words_of(raw, at).hash for _, raw, at in kernels.text_chunks(names)]
+    rank = np.argsort(np.argsort(np.concatenate(words)))  # terms in the order of the runs; each is one word
+    key = rank[np.asarray(coded.indices)]
     code = np.repeat(np.asarray(coded.indices), size)
-    order = np.argsort(ids, kind="stable")
-    order = order[np.argsort(code[order], kind="stable")]
+    low = int(ids.min())
+    bits = (int(ids.max()) - low).bit_length()
+    if bits + len(rank).bit_length() < 64:  # term and record as one number: the pieces rise in it, and the sort merges them
+        order = np.argsort(np.repeat(key, size) << bits | (ids - low), kind="stable")
+    else:
+        order = np.lexsort((ids, np.repeat(key, size)))
     code, ids, times = code[order], ids[order], times[order].astype(np.int64)
     fresh = np.ones(len(code), bool)
     fresh[1:] = (code[1:] != code[:-1]) | (ids[1:] != ids[:-1])

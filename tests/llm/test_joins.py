@@ -158,6 +158,31 @@ def test_terms(spark):
     assert terms.term_frequencies(rows.limit(0)).count() == 0
 
 
+def test_parts_of_pairs():
+    """Boundaries on one frequent term cost no more than others."""
+    import time
+
+    rng = np.random.default_rng(2)
+    h, ids = np.sort(rng.integers(0, 5, 1_000_000).astype(np.uint64)), rng.integers(0, 10**9, 1_000_000)
+    order = np.lexsort((ids, h))
+    h, ids = h[order], ids[order]
+    at = np.sort(rng.integers(0, len(h), 500))
+    bounds = h[at], ids[at] - rng.integers(0, 2, 500)
+    began = time.perf_counter()
+    got = terms.part_of(h, ids, bounds)
+    assert time.perf_counter() - began < 0.3
+    for i in rng.integers(0, len(h), 300):
+        assert got[i] == sum((b, c) <= (h[i], ids[i]) for b, c in zip(*bounds, strict=True))
+    assert terms.part_of(h[:0], ids[:0], bounds).tolist() == [] and not terms.part_of(h, ids, (h[:0], ids[:0])).any()
+
+
+def test_terms_of_far_ids(spark):
+    """Ids over the whole range of 64 bits."""
+    rows = spark.createDataFrame([(-(2**63), "a b a"), (2**63 - 1, "b c"), (0, "b")], "id long, text string")
+    got = {r.term: (r.occurrences, r.records) for r in terms.term_frequencies(rows).collect()}
+    assert got == {"a": (2, 1), "b": (3, 3), "c": (1, 1)}
+
+
 def test_terms_split_over_partitions(spark):
     """One term in all records, spread over more than one range: counts add up."""
     rows = spark.range(3000).selectExpr("id", "concat('the the w', id % 7) AS text")
