@@ -3,7 +3,8 @@
 Every document of a source gets the rate ``min(cap, exp(l * tokens / mean))``, the rates nearest to one (in relative
 entropy) that give the source its tokens within its cap.  The multipliers ``l``, one per source, solve a convex dual by
 Newton steps, each an aggregation over the table of (source, tokens, number of documents).  Rates become whole copies by
-carrying the rounding error on within a shard, in tokens, so that a source misses its tokens by less than a document a shard.
+carrying the rounding error on within a shard, in tokens and by falling size, so that a source misses its tokens by about
+half a small document a shard.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def solve_rates(histogram: DataFrame, weights: list[tuple[str, float, int]], tot
 
 def _round(rates: dict[str, tuple[float, float, int]]):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("source", "ascending"), ("turn", "ascending"), ("doc_id", "ascending")])
+        table = table.sort_by([("source", "ascending"), ("tokens", "descending"), ("turn", "ascending"), ("doc_id", "ascending")])
         source, tokens = np.array(table.column("source").to_pylist(), object), column(table, "tokens")
         copies = np.zeros(len(tokens), np.int32)
         for s in dict.fromkeys(source.tolist()):
@@ -87,13 +88,10 @@ def _round(rates: dict[str, tuple[float, float, int]]):
             at = np.flatnonzero(source == s)
             t = tokens[at].astype(float)
             rate = np.exp(np.minimum(l / mean * t, math.log(cap)))
-            owed = 0.0
-            out = np.floor(rate + 1e-9)
-            for i, (r, size, low) in enumerate(zip(rate.tolist(), t.tolist(), out.tolist(), strict=True)):
-                owed += (r - low) * size
-                if r - low > 1e-9 and owed >= size / 2 and low < cap:
-                    out[i] += 1
-                    owed -= size
+            owed, out = 0.0, np.zeros(len(at), np.int32)
+            for i, (r, size) in enumerate(zip(rate.tolist(), t.tolist(), strict=True)):
+                out[i] = min(max(math.floor(r + owed / size + 0.5), 0), cap)
+                owed += (r - out[i]) * size
             copies[at] = out
         return pa.table({"doc_id": table.column("doc_id"), "source": table.column("source"), "tokens": tokens, "copies": copies})
 

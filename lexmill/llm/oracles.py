@@ -38,7 +38,11 @@ _RANKED = """WITH once AS (SELECT row_id AS id, any_value(features) AS f FROM tr
     """
 _NEAREST = _RANKED + "SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE r <= 5 AND c >= 0.8 - 1e-12"
 
+_SOURCE = "regexp_replace(lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')), '[\\s-]+', '_', 'g')"
+
 ORACLES = {
+    "p7_held": "SELECT container, (SELECT count(*) FROM documents WHERE text <> '') AS texts, 0::BIGINT AS overfull, 0::BIGINT AS cut_early, 0::BIGINT AS misplaced FROM container_sizes",
+    "p8_held": f"SELECT {_SOURCE} AS source, max_repeats, 0::BIGINT AS above_cap, false AS missed FROM source_weights w WHERE target_share > 0 AND {_SOURCE} IN (SELECT {_SOURCE} FROM documents WHERE text <> '')",
     "p5_found": _NEAREST,
     "p5_recall": _RANKED + "SELECT count(*) AS pairs, true AS enough FROM ranked WHERE r <= 5 AND c >= 0.8 - 1e-12 AND id % 20 = 0",
     "p1_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.vectors import filled
 from ..operators import knn
 
+from ..session import cut
 from . import encoding, mixing, neighbours, newtext, overlaps, packing, subjects, terms
+from .tokens import with_tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,6 +88,33 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_report(p7_packed(spark, folder), _table(spark, folder, "container_sizes"))
 
 
+def p7_held(spark: SparkSession, folder: str) -> DataFrame:
+    """(container, texts, overfull, cut_early, misplaced) for every container: nothing but the texts may be more than 0.
+
+    ``texts`` counts those placed; ``overfull`` the windows above the capacity; ``cut_early`` the texts in several pieces
+    that would have fitted; ``misplaced`` the texts whose pieces don't add up to their size or overlap in their window.
+    """
+    packed = cut(p7_packed(spark, folder), "packed")
+    sizes = with_tokens(_table(spark, folder, "documents").select("doc_id", "text"), "text").where("tokens > 0").withColumnRenamed("tokens", "size")
+    room = _table(spark, folder, "container_sizes").selectExpr("container", "CAST(capacity_tokens AS BIGINT) AS capacity")
+    windows = packed.groupBy("container", "window").agg(F.sum("tokens").alias("filled"), F.max(F.col("offset") + F.col("tokens")).alias("reach"))
+    full = windows.join(room, "container").groupBy("container").agg(F.count_if(F.expr("filled > capacity OR reach <> filled")).alias("overfull"))
+    texts = packed.groupBy("container", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("placed"))
+    judged = sizes.crossJoin(F.broadcast(room)).join(texts, ["container", "doc_id"], "full").groupBy("container")  # a handful of containers
+    told = judged.agg(F.count("placed").alias("texts"), F.count_if(F.expr("pieces > 1 AND size <= capacity")).alias("cut_early"), F.count_if(F.expr("placed IS DISTINCT FROM size")).alias("misplaced"))
+    return told.join(full, "container").select("container", "texts", "overfull", "cut_early", "misplaced")
+
+
+def p8_held(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, max_repeats, above_cap, missed) for every source with a target: copies above the cap, and whether the share is missed by more than 0.002."""
+    copies = cut(p8_copies(spark, folder), "copies")
+    caps = _table(spark, folder, "source_weights").select(mixing.source_key().alias("source"), "max_repeats")
+    above = copies.join(F.broadcast(caps), "source").groupBy("source").agg(F.count_if(F.expr("copies > max_repeats")).alias("above_cap"))
+    report = mixing.mix_report(copies, _table(spark, folder, "source_weights")).where("target_share > 0 AND documents > 0")
+    report = report.withColumn("goal", F.col("target_share") / F.sum("target_share").over(Window.partitionBy(F.lit(0))))  # a handful of sources
+    return report.join(above, "source", "left").select("source", "max_repeats", F.coalesce("above_cap", F.lit(0)).alias("above_cap"), (F.abs(F.col("actual_share") - F.col("goal")) > 0.002).alias("missed"))
+
+
 def p8_copies(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"), _table(spark, folder, "source_weights"))
 
@@ -106,4 +135,4 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _areas(spark, folder, True).selectExpr("doc_id", "subject_id", "round(share, 6) AS share")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_restored, p5_found, p5_neighbours, p5_recall, p6_found, p6_labelled_lines, p7_packed, p7_report, p8_copies, p8_report, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_restored, p5_found, p5_neighbours, p5_recall, p6_found, p6_labelled_lines, p7_packed, p7_report, p7_held, p8_copies, p8_report, p8_held, p9_found, p9_shares)}
