@@ -128,6 +128,15 @@ def _back(raw: bytes, read: str) -> list[str]:
     return [_BACK[read].get(b, chr(b)) for b in raw]
 
 
+def misread(text: str, read: str, times: int = 2) -> list[str]:
+    """``text`` as its UTF-8 bytes look when they are read in another encoding, once and again."""
+    out = []
+    for _ in range(times):
+        text = "".join(_back(list(text.encode("utf-8")), read)) if not text.isascii() else text
+        out.append(text)
+    return out
+
+
 def readings(run: str) -> Iterator[tuple[str, tuple[tuple[str, str], ...]]]:
     """Every text ``run`` may have been, with its chain, of one or two wrong readings."""
     seen = {run}
