@@ -78,9 +78,9 @@ the addressee.
 
 
 def new_of(text):
-    model = newtext.train([MAIL] * 5)
+    model, again = newtext.train([MAIL] * 5)
     lines = text.split("\n")
-    s = newtext.symbols(lines)
+    s = newtext._joined(*newtext.features(lines), again)
     path = newtext.best_paths([s], model)[0]
     return [i + 1 for i in range(len(lines)) if s[i] and path[i] == newtext.NEW]
 
@@ -97,7 +97,7 @@ def test_mail_lines():
 def test_best_paths_as_one_by_one():
     model = newtext.prior()
     rng = random.Random(1)
-    runs = [[rng.randrange(len(newtext.SYMBOLS)) for _ in range(rng.randint(0, 30))] for _ in range(40)]
+    runs = [[rng.randrange(newtext.PLAIN) for _ in range(rng.randint(0, 30))] for _ in range(40)]
     together = newtext.best_paths(runs, model)
     for run, path in zip(runs, together, strict=True):
         assert path.tolist() == (newtext.best_paths([run], model)[0].tolist() if run else [])
@@ -110,7 +110,9 @@ def test_new_lines(spark):
         got.setdefault(r.id, []).append(r.line_no)
     assert sorted(got[9]) == [4, 5, 11] and 2 not in got and 3 not in got and got[5] == [1]
     assert newtext.new_lines(rows.limit(0)).count() == 0
-    labels = {r.line_no: r.label for r in newtext.labelled_lines(rows).where("id = 9").collect()}
+    notice = "\n".join(MAIL.split("\n")[16:])  # told by how many mails hold it
+    more = spark.createDataFrame([(20 + i, f"Item {i} is here.\n\n{notice}") for i in range(8)], "id long, text string")
+    labels = {r.line_no: r.label for r in newtext.labelled_lines(rows.select("id", "text").unionAll(more)).where("id = 9").collect()}
     assert labels[1] == "header" and labels[8] == "quoted" and labels[14] == "signature" and labels[19] == "notice"
 
 
