@@ -3,16 +3,18 @@
 A sentence is the mean of its words' vectors, a word's vector the sum of its own row and the mean of its subwords' rows of
 one hashed table.  A logistic output per subject gives the chance that a sentence is about it, and a document treats a
 subject if at least ``QUARTER`` of its sentences are.  Labels are per document, so the document's fraction is trained: the
-gradient reaches the sentences through it.  Training is spread over partitions of the labelled documents; every round each
-partition takes steps from the shared parameters, and the rounds' parameters are averaged (synchronised gradients).
+gradient reaches the sentences through it.  Training is spread over partitions: in every step each partition gives the
+gradient of its documents at the shared parameters, their sum is the gradient of all, and one optimiser (Adam) steps.
 Annotators who disagree give a label between 0 and 1.
 
-A second model of the same kind then learns the sentences themselves, as the first one sees them, on a bounded sample of
-all documents: it can't fit the annotators' errors, and it gives chances near 0 or 1.  That one scores every document.
+A second model of the same kind then learns the sentences themselves, as the first one sees them, over all documents, a
+slice of them a step: it can't fit the annotators' errors, it knows the words of all documents, and it gives chances near
+0 or 1.  That one scores every document.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -22,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sampling import bounded_sample
-from ..session import cut
+from ..session import cut, drop_shared, write_shared
 from . import kernels
 
-#: Most labelled documents and most documents of any kind used for training; partitions they are spread over.
-LABELLED, SENTENCE_DOCS, PARTITIONS = 4000, 4000, 4
-#: Steps of a round; rounds of the second model, and most rounds of the first, which ends once it agrees with the labels.
-STEPS, ROUNDS, MOST_ROUNDS, AGREED = 16, 3, 8, 0.93
+#: Most labelled documents used for training, and partitions they are spread over.
+LABELLED, PARTITIONS = 4000, 4
+#: Steps after which the first model is held against the labels, most such rounds, and the agreement at which it ends.
+STEPS, MOST_ROUNDS, AGREED = 16, 8, 0.93
+#: Steps of the second model; documents of a step at least.  So every document is used, and from their product on once.
+SLICES, SLICE_DOCS = 48, 2000
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (4, 5)
 #: Chance from which the first model counts a sentence as about a subject, and how near to it a case is doubtful.
 ABOUT, DOUBT = 0.3, 0.06
@@ -127,12 +131,8 @@ def initial(subjects: int, seed: int = 9) -> tuple[np.ndarray, np.ndarray, np.nd
     return rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32), rng.normal(0, 0.5, (WIDTH, subjects)).astype(np.float32), np.full(subjects, -2.0, np.float32)
 
 
-def train_steps(texts: list[str], labels: np.ndarray | None, model: tuple, steps: int, teacher: tuple | None = None) -> tuple:
-    """Parameters after ``steps`` full steps (Adam) over these documents, from ``model``.
-
-    With a ``teacher``, its view of each sentence is learned instead of the documents' labels; doubtful ones are left out.
-    """
-    table, out, bias = (x.copy() for x in model)
+def prepared(texts: list[str]) -> dict[str, np.ndarray] | None:
+    """What the gradient of these documents needs of them; None without any word."""
     lexicon = Lexicon()
     word, sent, doc = [], [], []
     base = 0
@@ -143,74 +143,72 @@ def train_steps(texts: list[str], labels: np.ndarray | None, model: tuple, steps
         base += len(d)
     word, sent, doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (word, sent, doc))
     if not len(word):
-        return model
+        return None
     own, subs, at = lexicon.arrays()
-    sub_size = np.diff(at)
     first = np.flatnonzero(np.diff(sent, prepend=-1))
-    size = np.diff(first, append=len(sent)).astype(np.float32)
     doc_first = np.flatnonzero(np.diff(doc, prepend=-1))
-    docs = doc[doc_first]
-    in_doc = np.repeat(np.arange(len(docs)), np.diff(doc_first, append=len(doc)))
-    count = np.bincount(in_doc).astype(np.float32)[:, None]
-    if teacher is None:
-        y = labels[docs] * (1 - 2 * SMOOTH) + SMOOTH
-    else:
-        was = np.add.reduceat((word_vectors(teacher[0], own, subs, at) @ teacher[1])[word], first, axis=0) / size[:, None] + teacher[2]
-        was = _sigmoid(was)
-        goal, counts = (was >= ABOUT).astype(np.float32), (np.abs(was - ABOUT) > DOUBT) / np.float32(len(size))
     by_word = np.argsort(word, kind="stable")
-    word_first = np.flatnonzero(np.diff(word[by_word], prepend=-1))
-    sent_by_word = sent[by_word]
     rows = np.concatenate([own, subs])
     order = np.argsort(rows, kind="stable")
     row_first = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    touched = rows[order][row_first]
-    source = np.concatenate([np.arange(len(own)), np.repeat(np.arange(len(own)), sub_size)])[order]
-    share = np.concatenate([np.ones(len(own)), np.repeat(1 / sub_size, sub_size)]).astype(np.float32)[order, None]
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table[touched], out, bias)]
-    for t in range(1, steps + 1):
-        vectors = word_vectors(table, own, subs, at)
-        h = np.add.reduceat(vectors[word], first, axis=0) / size[:, None]
-        p = _sigmoid(h @ out + bias)
-        if teacher is None:
-            q = np.add.reduceat(p, doc_first, axis=0) / count
-            e = SHARPNESS * (_sigmoid(SHARPNESS * (q - QUARTER)) - y) / len(docs)
-            dz = (e / count)[in_doc] * p * (1 - p)
-        else:
-            dz = (p - goal) * counts
-        dh = (dz @ out.T) / size[:, None]
-        dv = np.add.reduceat(dh[sent_by_word], word_first, axis=0)
-        dt = np.add.reduceat(dv[source] * share, row_first, axis=0)
-        grads = (dt, h.T @ dz, dz.sum(axis=0))
-        for i, g in enumerate(grads):
-            m, v = moments[i]
+    size = np.diff(at)
+    return {
+        "word": word, "own": own, "subs": subs, "at": at, "first": first, "size": np.diff(first, append=len(sent)).astype(np.float32),
+        "doc_first": doc_first, "docs": doc[doc_first], "in_doc": np.repeat(np.arange(len(doc_first)), np.diff(doc_first, append=len(doc))),
+        "word_first": np.flatnonzero(np.diff(word[by_word], prepend=-1)), "sent_by_word": sent[by_word], "row_first": row_first, "touched": rows[order][row_first],
+        "source": np.concatenate([np.arange(len(own)), np.repeat(np.arange(len(own)), size)])[order],
+        "share": np.concatenate([np.ones(len(own)), np.repeat(1 / size, size)]).astype(np.float32)[order, None],
+    }
+
+
+def _chances(d: dict, model: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Mean vector of each sentence, and its chances."""
+    h = np.add.reduceat(word_vectors(model[0], d["own"], d["subs"], d["at"])[d["word"]], d["first"], axis=0) / d["size"][:, None]
+    return h, _sigmoid(h @ model[1] + model[2])
+
+
+def gradient(d: dict, model: tuple, labels: np.ndarray | None = None, teacher: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Sums over these documents of the gradients of table, outputs and biases, and how many cases they are.
+
+    Without ``labels``, the ``teacher``'s view of each sentence is learned; doubtful ones count nothing.
+    """
+    h, p = _chances(d, model)
+    if teacher is None:
+        y = labels[d["docs"]] * (1 - 2 * SMOOTH) + SMOOTH
+        count = np.bincount(d["in_doc"]).astype(np.float32)[:, None]
+        q = np.add.reduceat(p, d["doc_first"], axis=0) / count
+        e = SHARPNESS * (_sigmoid(SHARPNESS * (q - QUARTER)) - y)
+        dz, cases = (e / count)[d["in_doc"]] * p * (1 - p), len(d["docs"])
+    else:
+        was = _chances(d, teacher)[1]
+        dz, cases = (p - (was >= ABOUT)) * (np.abs(was - ABOUT) > DOUBT), len(p)
+    dh = (dz @ model[1].T) / d["size"][:, None]
+    dv = np.add.reduceat(dh[d["sent_by_word"]], d["word_first"], axis=0)
+    dt = np.zeros(model[0].shape, np.float32)
+    dt[d["touched"]] = np.add.reduceat(dv[d["source"]] * d["share"], d["row_first"], axis=0)
+    return dt, (h.T @ dz).astype(np.float32), dz.sum(axis=0).astype(np.float32), cases
+
+
+class Adam:
+    """The optimiser's state, one for all partitions."""
+
+    def __init__(self, model: tuple) -> None:
+        self.model, self.t = tuple(x.copy() for x in model), 0
+        self.moments = [(np.zeros_like(x), np.zeros_like(x)) for x in model]
+
+    def step(self, grads: list[np.ndarray]) -> None:
+        self.t += 1
+        for x, g, (m, v) in zip(self.model, grads, self.moments, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-            if i == 0:
-                table[touched] -= step
-            elif i == 1:
-                out -= step
-            else:
-                bias -= step
-    return table, out, bias
+            x -= RATE * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def agreement(texts: list[str], labels: np.ndarray, model: tuple) -> np.ndarray:
+def agreement(d: dict, model: tuple) -> np.ndarray:
     """(agreed, given, labelled): cases where the model's view of a document, its labels, or both have a subject."""
-    out = np.zeros(3)
-    for at, words, sent, doc in sentences(pa.array(texts, pa.large_string())):
-        if len(doc):
-            lexicon = Lexicon()
-            number = lexicon.add(words)
-            logits = word_vectors(model[0], *lexicon.arrays()) @ model[1]
-            first = np.flatnonzero(np.diff(sent, prepend=-1))
-            p = _sigmoid(np.add.reduceat(logits[number], first, axis=0) / np.diff(first, append=len(sent))[:, None] + model[2])
-            have = np.flatnonzero(np.diff(doc, prepend=-1))
-            q = np.add.reduceat(p, have, axis=0) / np.diff(have, append=len(doc))[:, None]
-            given, true = q >= QUARTER, labels[at + doc[have]] > 0.5
-            out += [(given & true).sum(), given.sum(), true.sum()]
-    return out
+    q = np.add.reduceat(_chances(d, model)[1], d["doc_first"], axis=0) / np.bincount(d["in_doc"])[:, None]
+    given, true = q >= QUARTER, d["labels"][d["docs"]] > 0.5
+    return np.array([(given & true).sum(), given.sum(), true.sum()], float)
 
 
 def fractions(column: pa.Array, scorer: Scorer) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -250,52 +248,102 @@ class Scorer:
         return self.known[number]
 
 
-def _round(model, steps: int, subjects: int, teacher):
-    names = ["table", "out", "bias", "docs"]
+_SUMS = "table binary, out binary, bias binary, cases long"
+
+
+def _sums(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for one in found:
+        total = one if total is None else tuple(a + b for a, b in zip(total, one, strict=True))
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([*(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in total[:3]), pa.array([total[3]], pa.int64())], names=["table", "out", "bias", "cases"])
+
+
+def _labelled_sums(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stored = (pickle.loads(x) for batch in batches for x in batch.column(0).to_pylist())  # written by _store
+        yield from _sums(gradient(d, model.value, labels=d["labels"]) for d in stored)
+
+    return run
+
+
+def _sentence_sums(model, teacher):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = (prepared(batch.column(0).to_pylist()) for batch in batches)
+        yield from _sums(gradient(d, model.value, teacher=teacher.value) for d in ready if d)
+
+    return run
+
+
+def _store(subjects: int):
+    """Documents of a partition as :func:`prepared` gives them, with their labels, so that no step tells words apart again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, labels = [], []
         for batch in batches:
             texts += batch.column(0).to_pylist()
-            labels += batch.column(1).to_pylist() if teacher is None else []
-        if not texts:
-            return
-        y = np.array(labels, np.float32).reshape(len(texts), subjects) if teacher is None else None
-        new = train_steps(texts, y, model.value, steps, teacher.value if teacher else None)
-        yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in new), pa.array([len(texts)], pa.int64())], names=names)
+            labels += batch.column(1).to_pylist()
+        d = prepared(texts) if texts else None
+        if d:
+            d["labels"] = np.array(labels, np.float32).reshape(len(texts), subjects)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(d, 5)], pa.binary())], names=["stored"])
 
     return run
 
 
-def _agreement(model, subjects: int):
+def _step(adam: Adam, rows: DataFrame, sums) -> bool:
+    """One step of the optimiser along the summed gradients of ``rows``; False without any."""
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast(adam.model)
+    parts = rows.mapInArrow(sums(shared), _SUMS).collect()  # an array of fixed size a partition
+    shared.unpersist()
+    cases = sum(r.cases for r in parts)
+    if cases:
+        adam.step([sum(np.frombuffer(zlib.decompress(r[i]), np.float32) for r in parts).reshape(x.shape) / np.float32(cases) for i, x in enumerate(adam.model)])
+    return bool(cases)
+
+
+def _agreement(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                y = np.array(batch.column(1).to_pylist(), np.float32).reshape(batch.num_rows, subjects)
-                counts = agreement(batch.column(0).to_pylist(), y, model.value)
+            for x in batch.column(0).to_pylist():
+                d = pickle.loads(x)
+                counts = agreement(d, model.value)
                 yield pa.RecordBatch.from_arrays([pa.array([float(c)]) for c in counts], names=["agreed", "given", "labelled"])
 
     return run
 
 
-def train(rows: DataFrame, subjects: int, teacher: tuple | None = None) -> tuple:
-    """Parameters trained on ``rows(text, y)``, ``y`` a label from 0 to 1 for each subject, or on a teacher's view of ``rows(text)``."""
-    context = rows.sparkSession.sparkContext
-    told = context.broadcast(teacher) if teacher else None
-    model = initial(subjects, 9 if teacher is None else 10)
-    for _ in range(ROUNDS if teacher else MOST_ROUNDS):
-        shared = context.broadcast(model)
-        parts = rows.mapInArrow(_round(shared, STEPS, subjects, told), "table binary, out binary, bias binary, docs long").collect()
-        total = sum(r.docs for r in parts)
-        if not total:
+def train(rows: DataFrame, subjects: int) -> tuple:
+    """Parameters trained on ``rows(text, y)``, ``y`` a label from 0 to 1 for each subject."""
+    stored = cut(rows.mapInArrow(_store(subjects), "stored binary"), "training")
+    adam = Adam(initial(subjects))
+    for _ in range(MOST_ROUNDS):
+        for _ in range(STEPS):
+            if not _step(adam, stored, _labelled_sums):
+                return adam.model
+        told = rows.sparkSession.sparkContext.broadcast(adam.model)
+        seen = stored.mapInArrow(_agreement(told), "agreed double, given double, labelled double").groupBy().sum().first()
+        if 2 * (seen[0] or 0) >= AGREED * ((seen[1] or 0) + (seen[2] or 0)):
             break
-        model = tuple(sum(np.frombuffer(r[i], np.float32).reshape(model[i].shape) * (r.docs / total) for r in parts).astype(np.float32) for i in range(3))
-        shared.unpersist()
-        if teacher is None:
-            seen = rows.mapInArrow(_agreement(context.broadcast(model), subjects), "agreed double, given double, labelled double").groupBy().sum().first()
-            if 2 * (seen[0] or 0) >= AGREED * ((seen[1] or 0) + (seen[2] or 0)):
-                break
-    return model
+    return adam.model
+
+
+def train_sentences(documents: DataFrame, teacher: tuple) -> tuple:
+    """Parameters trained on the teacher's view of the sentences of all of ``documents(doc_id, text)``, a slice of them a step."""
+    spark = documents.sparkSession
+    total = documents.count()
+    slices = min(SLICES, max(1, total // SLICE_DOCS))
+    each = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(slices)).cast("int").alias("slice")
+    spread = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(max(PARTITIONS, total // (slices * 20_000)))).alias("part")
+    dealt = documents.select("doc_id", "text", each, spread).repartition("slice", "part").select("text", "slice")
+    path = write_shared(dealt, "slices", ("slice",))
+    told, adam = spark.sparkContext.broadcast(teacher), Adam(initial(len(teacher[2]), 10))
+    for t in range(SLICES):
+        rows = spark.read.schema("text string, slice int").parquet(path).where(F.col("slice") == t % slices).select("text")
+        _step(adam, rows, lambda shared: _sentence_sums(shared, told))
+    drop_shared(spark, path)
+    return adam.model
 
 
 def _assign(model, ids: list[int], every: bool):
@@ -326,9 +374,8 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     chosen = bounded_sample(votes, "doc_id", LABELLED)
     # at most LABELLED rows, so they are sent to the documents, and only those picked are compared for repeats
     labelled = documents.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", F.array(*(F.col(f"y{i}") for i in ids)).alias("y"))
-    spread = lambda df: cut(df.repartition(PARTITIONS, F.xxhash64("text")), "training")
-    first = train(spread(labelled), len(ids))
-    second = train(spread(bounded_sample(documents, "doc_id", SENTENCE_DOCS).select("text")), len(ids), first)
+    first = train(cut(labelled.repartition(PARTITIONS, F.xxhash64("text")), "labelled"), len(ids))
+    second = train_sentences(documents, first)
     model = documents.sparkSession.sparkContext.broadcast(second)
     found = documents.mapInArrow(_assign(model, ids, every), "doc_id long, subject_id long, share double")
     return found.dropDuplicates(["doc_id", "subject_id"])
