@@ -32,7 +32,7 @@ LABELLED, PARTITIONS = 4000, 4
 #: Steps after which the first model is held against the labels, most such rounds, and the agreement at which it ends.
 STEPS, MOST_ROUNDS, AGREED = 16, 8, 0.93
 #: Steps of the second model; documents of a step at least.  So every document is used, and from their product on once.
-SLICES, SLICE_DOCS = 48, 2000
+SLICES, SLICE_DOCS = 32, 2000
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (4, 5)
 #: Chance from which the first model counts a sentence as about a subject, and how near to it a case is doubtful.
 ABOUT, DOUBT = 0.3, 0.06
@@ -296,7 +296,7 @@ def _step(adam: Adam, rows: DataFrame, sums) -> bool:
     context = rows.sparkSession.sparkContext
     shared = context.broadcast(adam.model)
     parts = rows.mapInArrow(sums(shared), _SUMS).collect()  # an array of fixed size a partition
-    shared.unpersist()
+    shared.destroy()
     cases = sum(r.cases for r in parts)
     if cases:
         adam.step([sum(np.frombuffer(zlib.decompress(r[i]), np.float32) for r in parts).reshape(x.shape) / np.float32(cases) for i, x in enumerate(adam.model)])
