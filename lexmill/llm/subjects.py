@@ -14,6 +14,7 @@ slice of them a step: it can't fit the annotators' errors, it knows the words of
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ LABELLED, PARTITIONS = 4000, 4
 STEPS, MOST_ROUNDS, AGREED = 16, 8, 0.93
 #: Steps of the second model; documents of a step at least.  So every document is used, and from their product on once.
 SLICES, SLICE_DOCS = 32, 2000
+#: Documents of a partition in a step of the second model; arrays of gradients that are sent to the driver as they are.
+PART_DOCS, MOST_SUMS = 20_000, 16
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (4, 5)
 #: Chance from which the first model counts a sentence as about a subject, and how near to it a case is doubtful.
 ABOUT, DOUBT = 0.3, 0.06
@@ -291,11 +294,22 @@ def _store(subjects: int):
     return run
 
 
-def _step(adam: Adam, rows: DataFrame, sums) -> bool:
-    """One step of the optimiser along the summed gradients of ``rows``; False without any."""
+def _added(shapes: list[tuple]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield from _sums((*(np.frombuffer(zlib.decompress(x), np.float32).reshape(k) for x, k in zip(r, shapes, strict=False)), r[3]) for r in rows)
+
+    return run
+
+
+def _step(adam: Adam, rows: DataFrame, sums, parts: int = PARTITIONS) -> bool:
+    """One step of the optimiser along the summed gradients of ``rows``, of about ``parts`` partitions; False without any."""
     context = rows.sparkSession.sparkContext
     shared = context.broadcast(adam.model)
-    parts = rows.mapInArrow(sums(shared), _SUMS).collect()  # an array of fixed size a partition
+    found = rows.mapInArrow(sums(shared), _SUMS)
+    if parts > MOST_SUMS:  # added up in groups first, so that few arrays reach the driver
+        found = found.repartition(math.isqrt(parts)).mapInArrow(_added([x.shape for x in adam.model]), _SUMS)
+    parts = found.collect()
     shared.destroy()
     cases = sum(r.cases for r in parts)
     if cases:
@@ -335,13 +349,14 @@ def train_sentences(documents: DataFrame, teacher: tuple) -> tuple:
     total = documents.count()
     slices = min(SLICES, max(1, total // SLICE_DOCS))
     each = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(slices)).cast("int").alias("slice")
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(max(PARTITIONS, total // (slices * 20_000)))).alias("part")
+    parts = max(PARTITIONS, total // (slices * PART_DOCS))
+    spread = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(parts)).alias("part")
     dealt = documents.select("doc_id", "text", each, spread).repartition("slice", "part").select("text", "slice")
     path = write_shared(dealt, "slices", ("slice",))
     told, adam = spark.sparkContext.broadcast(teacher), Adam(initial(len(teacher[2]), 10))
     for t in range(SLICES):
         rows = spark.read.schema("text string, slice int").parquet(path).where(F.col("slice") == t % slices).select("text")
-        _step(adam, rows, lambda shared: _sentence_sums(shared, told))
+        _step(adam, rows, lambda shared: _sentence_sums(shared, told), parts)
     drop_shared(spark, path)
     return adam.model
 

@@ -269,3 +269,28 @@ def test_sentences_are_cut():
     (at, words, sent, doc), *_ = subjects.sentences(pa.array(texts))
     assert doc.tolist() == [0, 0, 0, 3, 4, 5] and np.bincount(sent).tolist() == [2, 4, 1, 2, 2, 1]
     assert len(words.hash) == len(sent)
+
+
+class Kept:
+    """An optimiser that keeps the gradient it is given."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def step(self, grads):
+        self.grads = grads
+
+
+def test_subject_gradients_add_up(spark, monkeypatch):
+    """However the documents are spread and their gradients added, a step is along the one over all of them."""
+    texts = [f"the judge read the law {i}. stars and atoms, said the physicist!" for i in range(40)]
+    model, teacher = subjects.initial(2), subjects.initial(2, 3)
+    *whole, cases = subjects.gradient(subjects.prepared(texts), model, teacher=teacher)
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    told = spark.sparkContext.broadcast(teacher)
+    for most in (16, 2):
+        monkeypatch.setattr(subjects, "MOST_SUMS", most)
+        kept = Kept(model)
+        assert subjects._step(kept, rows, lambda shared: subjects._sentence_sums(shared, told), 5)
+        for got, want in zip(kept.grads, whole, strict=True):
+            assert np.allclose(got, want / cases, atol=1e-6)
