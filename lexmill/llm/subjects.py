@@ -61,6 +61,7 @@ def sentences(column: pa.Array):
         white = (raw == 32) | (raw == 10) | (raw == 13) | (raw == 9)
         after = np.ones(n, bool)
         after[:-1] = white[1:]
+        after[offsets[1:][offsets[1:] > 0] - 1] = True  # a record's last byte, whatever the next one begins with
         ends = stop & after
         line = raw == 10
         ends[1:] |= line[1:] & (line[:-1] | (raw[:-1] == 44) | (raw[:-1] == 58))

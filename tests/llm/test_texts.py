@@ -271,6 +271,14 @@ def test_sentences_are_cut():
     assert len(words.hash) == len(sent)
 
 
+def test_sentences_do_not_depend_on_neighbours():
+    """A text's last sentence counts whether or not another text follows."""
+    texts = ["One two. Three four!", "five six? Seven", "eight."]
+    alone = [[len(sent) for _, _, sent, _ in subjects.sentences(pa.array([t]))] for t in texts]
+    (_, words, sent, doc), *_ = subjects.sentences(pa.array(texts))
+    assert np.bincount(doc).tolist() == [2, 1, 1] and [sum(a) for a in alone] == np.bincount(words.doc).tolist()
+
+
 class Kept:
     """An optimiser that keeps the gradient it is given."""
 
