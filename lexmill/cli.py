@@ -1,4 +1,4 @@
-"""Command lines: ``python -m lexmill.cli train|evaluate|predict|train-tfidf``."""
+"""Command lines: ``python -m lexmill.cli train|evaluate|predict|train-tfidf|knn``."""
 
 from __future__ import annotations
 
@@ -10,12 +10,16 @@ import time
 
 from pyspark.sql import functions as F
 
-from .operators import linear, metrics, tfidf
+from .operators import knn, linear, metrics, tfidf
 from .plans import pipeline
-from .session import get_session
+from .session import cut, get_session
 from .sources import readers, writers
 
 
+#: Where training writes its models, and where they are looked for, if no folder is named.
+DEFAULT_MODEL, DEFAULT_TFIDF = "models", "models/tfidf"
+
+
 def _report(rows, pos_label: str | None) -> dict:
     """A summary, the confusion matrix and the report of ``(true, pred)`` rows; all of them are a few rows."""
     out = metrics.summary(rows, pos_label).first().asDict()
@@ -41,21 +45,28 @@ def train_tfidf(args: argparse.Namespace) -> None:
     spark = get_session()
     corpus = readers.read_labelled(spark, args.data)
     corpus = corpus.withColumn("label", F.col("label").cast("int").cast("string"))
-    model, held_out = pipeline.train_linear(corpus)
+    words = readers.read_stop_words(args.stop_words) if args.stop_words else tfidf.STOP_WORDS
+    model, held_out = pipeline.train_linear(corpus, stop_words=words)
     model.save(args.save_dir)
     print(json.dumps(_report(held_out, "1"), indent=2))
 
 
 def _models(spark, args):
-    """(TF-IDF model or None, naive Bayes model or None): the former is preferred where it can be read."""
+    """(TF-IDF model or None, naive Bayes model or None): the former is preferred where it can be read.
+
+    Without any path the folders that training writes by default are taken, where they are there.
+    """
+    if not args.model and not args.tfidf_model:
+        args.model = DEFAULT_MODEL if os.path.exists(DEFAULT_MODEL) else None
+        args.tfidf_model = DEFAULT_TFIDF if os.path.exists(DEFAULT_TFIDF) else None
     if args.tfidf_model:
         try:
-            return linear.load(spark, args.tfidf_model), None
+            return linear.load(spark, args.tfidf_model, args.tfidf_vect), None
         except Exception as e:
             print(f"TF-IDF model not used: {e}", file=sys.stderr)
     if not args.model:
         raise SystemExit("a naive Bayes model (--model) or a TF-IDF model (--tfidf-model) is needed")
-    return None, pipeline.load_text_model(spark, args.model, tuple(args.ngram_range), args.lowercase)
+    return None, pipeline.load_text_model(spark, args.model, tuple(args.ngram_range), args.lowercase, args.vocab)
 
 
 def evaluate(args: argparse.Namespace) -> None:
@@ -93,6 +104,22 @@ def predict(args: argparse.Namespace) -> None:
     print(f"{time.perf_counter() - began:.3f} s", file=sys.stderr)
 
 
+def neighbours(args: argparse.Namespace) -> None:
+    """Labels the rows of one feature file by their nearest rows in another, and prints sizes, time and accuracy."""
+    spark = get_session()
+    began = time.perf_counter()
+    train, error = pipeline.load_knn(spark, args.train, args.n_features, not args.no_header)
+    if error:
+        raise SystemExit(error)
+    asked = cut(readers.read_features(spark, args.test, args.n_features, not args.no_header), "asked")
+    found = knn.predict(train, asked.select("id", "v"), args.k, args.tie).select(F.col("qid").alias("id"), F.col("label").alias("pred"))
+    both = cut(asked.select("id", "label").join(found, "id"), "predicted")
+    share = knn.accuracy(both, F.col("label"), F.col("pred")).first().accuracy
+    print(json.dumps({"train": train.count(), "test": both.count(), "k": args.k, "seconds": round(time.perf_counter() - began, 3), "accuracy": share}))
+    if args.output_file:
+        writers.write_prediction_file(both.orderBy("id").select(F.col("id").cast("string").alias("text"), F.col("pred").cast("string").alias("label")), args.output_file)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="lexmill")
     commands = parser.add_subparsers(required=True)
@@ -104,13 +131,15 @@ def main(argv: list[str] | None = None) -> None:
             sub.add_argument(flags, **settings)
         return sub
 
-    models = [("--model", {}), ("--tfidf-model", {}), ("--ngram-range", {"nargs": 2, "type": int, "default": [1, 1]}), ("--lowercase", {"action": "store_true"})]
-    command("train", train, ("--data", {"required": True}), ("--config", {}), ("--save_dir", {"default": "models"}))
-    command("train-tfidf", train_tfidf, ("--data", {"required": True}), ("--save_dir", {"default": "models/tfidf"}))
+    models = [("--model", {}), ("--vocab", {}), ("--tfidf-model", {}), ("--tfidf-vect", {}), ("--ngram-range", {"nargs": 2, "type": int, "default": [1, 1]}), ("--lowercase", {"action": "store_true"})]
+    command("train", train, ("--data", {"required": True}), ("--config", {}), ("--save_dir", {"default": DEFAULT_MODEL}))
+    command("train-tfidf", train_tfidf, ("--data", {"required": True}), ("--save_dir", {"default": DEFAULT_TFIDF}), ("--stop-words", {}))
     command("evaluate", evaluate, ("--data", {"required": True}), ("--output", {}), ("--pos-label", {}), *models)
     which = command("predict", predict, ("--output-file", {}), *models).add_mutually_exclusive_group(required=True)
     which.add_argument("--text")
     which.add_argument("--input-file")
+    number = {"type": int}
+    command("knn", neighbours, ("--train", {"required": True}), ("--test", {"required": True}), ("--k", number | {"default": 9}), ("--n-features", number), ("--tie", {"choices": ("nearest", "one"), "default": "nearest"}), ("--no-header", {"action": "store_true"}), ("--output-file", {}))
     args = parser.parse_args(argv)
     args.run(args)
 

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.text import confidence
 
 
+def timings(rows: DataFrame) -> DataFrame:
+    """(model, n, total_ms, mean_ms, most_ms) of ``rows(model, time_ms)``; ``n`` counts those with a time."""
+    t = F.col("time_ms")
+    return rows.groupBy("model").agg(F.count(t).alias("n"), F.sum(t).alias("total_ms"), F.avg(t).alias("mean_ms"), F.max(t).alias("most_ms"))
+
+
 def compare(first: DataFrame, second: DataFrame, names: tuple[str, str] = ("naive_bayes", "knn")) -> DataFrame:
     """One row a document of either ``(doc_id, label, probs, time_ms)`` table.
 

@@ -14,6 +14,16 @@ HOT_SHARE, FEW_ROWS = 1000, 1_000_000
 SPLIT_ROWS = 250_000
 
 
+#: A table is sent to all executors if it has no more rows, and no more bytes of text, than this.
+SMALL_ROWS, SMALL_BYTES = 500_000, 1 << 25
+
+
+def is_small(rows: DataFrame, text: str) -> bool:
+    """Whether a stored table, whose only long column is ``text``, may be broadcast."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return n <= SMALL_ROWS and size <= SMALL_BYTES
+
+
 def hot_keys(rows: DataFrame, key: str, total: int | None = None) -> dict:
     """{key: rows that hold it} of the hot keys of ``rows``; null is none."""
     total = rows.count() if total is None else total

@@ -157,6 +157,6 @@ def distances(neighbours: DataFrame) -> DataFrame:
     return neighbours.withColumn("distance", 1 - F.col("sim"))
 
 
-def accuracy(rows: DataFrame, true: Column, predicted: Column) -> DataFrame:
-    """(accuracy): the share of equal labels; null without rows."""
-    return rows.agg(F.avg(F.when(true == predicted, 1.0).otherwise(0.0)).alias("accuracy"))
+def accuracy(rows: DataFrame, true: Column, predicted: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., accuracy): the share of equal labels, a missing one equals none; null without rows."""
+    return rows.groupBy(*by).agg(F.avg(F.when(true == predicted, 1.0).otherwise(0.0)).alias("accuracy"))

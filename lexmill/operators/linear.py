@@ -12,6 +12,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .tfidf import TfIdf
 
 
@@ -47,10 +48,11 @@ class Linear:
         self.model.write().overwrite().save(f"{path}/logreg")
 
 
-def load(spark: SparkSession, path: str) -> Linear:
+def load(spark: SparkSession, path: str, tfidf: str | None = None) -> Linear:
+    """A saved classifier; ``tfidf`` is another folder of its TF-IDF model."""
     from .tfidf import load as load_tfidf
 
-    return Linear(load_tfidf(spark, f"{path}/tfidf"), LogisticRegressionModel.load(f"{path}/logreg"))
+    return Linear(load_tfidf(spark, tfidf or f"{path}/tfidf"), LogisticRegressionModel.load(f"{path}/logreg"))
 
 
 def fit(tfidf: TfIdf, docs: DataFrame, c: float = 1.0, max_iter: int = 1000) -> Linear:
@@ -59,9 +61,10 @@ def fit(tfidf: TfIdf, docs: DataFrame, c: float = 1.0, max_iter: int = 1000) ->
     The intercept isn't penalised.  Spark ML's penalty for that objective is ``1 / (c n)``, without standardisation.
     """
     data = vectors(tfidf, docs.select("doc_id", "terms", F.col("label").cast("double").alias("label"))).where("label IS NOT NULL")
+    data = cut(data.select("features", "label"), "vectors")  # counted and fitted on without making them again
     n = data.count()
     learner = LogisticRegression(maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, tol=1e-6)
-    return Linear(tfidf, learner.fit(data.select("features", "label")))
+    return Linear(tfidf, learner.fit(data))
 
 
 def weights(model: Linear) -> list[tuple[str, float]]:

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .joins import SMALL_ROWS, is_small
+from .vocabulary import doc_counts
+
 
 def log(x: Column) -> Column:
     """Natural logarithm with minus infinity, not null, at 0."""
@@ -45,15 +48,33 @@ class NaiveBayes:
         """
         known = counts.where((F.col("idx") >= 0) & (F.col("idx") < self.vocab_size))
         logs = self.log_probabilities().groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("label", "log_prob"))).alias("m"))  # one entry a class
-        defaults = self.default_logs()
+        if self.vocab_size <= SMALL_ROWS:  # a row of as many numbers as there are classes for each term
+            logs = F.broadcast(logs)
         joined = known.join(logs, "idx", "left")
+        return self._summed(docs, joined, F.col("cnt"))
+
+    def _summed(self, docs: DataFrame, joined: DataFrame, times: Column) -> DataFrame:
+        defaults = self.default_logs()
         value = lambda i, c: F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(defaults[i]))
-        sums = joined.groupBy("doc_id").agg(*(F.sum(F.col("cnt") * value(i, c)).alias(f"s{i}") for i, c in enumerate(self.classes)))
+        sums = joined.groupBy("doc_id").agg(*(F.sum(times * value(i, c)).alias(f"s{i}") for i, c in enumerate(self.classes)))
         full = docs.select("doc_id").join(sums, "doc_id", "left")
         prior = {r.label: r.log_prior for r in self.priors.collect()}
         scored = [F.struct(F.lit(c).alias("label"), (F.lit(prior[c]) + F.coalesce(F.col(f"s{i}"), F.lit(0.0))).alias("log_score")) for i, c in enumerate(self.classes)]
         return full.select("doc_id", F.inline(F.array(*scored)))
 
+    def scores_of_terms(self, docs: DataFrame, vocab: DataFrame) -> DataFrame:
+        """:meth:`scores` of ``docs(doc_id, terms)`` under a stored ``vocab(term, idx)``.
+
+        Terms and their logs are sent to the documents where they are small enough: then a document's terms meet in one
+        aggregation, begun where the document lies, and are never counted apart.
+        """
+        if not is_small(vocab, "term"):
+            return self.scores(docs, doc_counts(docs, vocab))
+        logs = self.log_probabilities().groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("label", "log_prob"))).alias("m"))  # one entry a class
+        table = vocab.where((F.col("idx") >= 0) & (F.col("idx") < self.vocab_size)).select("term", "idx").join(logs, "idx", "left").select("term", "m")
+        found = docs.select("doc_id", F.explode("terms").alias("term")).join(F.broadcast(table), "term")
+        return self._summed(docs, found, F.lit(1))
+
     def predict(self, docs: DataFrame, counts: DataFrame) -> DataFrame:
         """(doc_id, label, probs MAP<STRING,DOUBLE>); the first class in order wins a tie.  One plan gives both."""
         return predictions(self.scores(docs, counts))

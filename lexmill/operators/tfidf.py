@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
+from .joins import is_small
 from .ranking import dense_index
 
 #: Common English function words; another list can be given wherever this one is the default.
@@ -33,10 +35,16 @@ class TfIdf:
 
     def weights(self, docs: DataFrame) -> DataFrame:
         """(doc_id, idx, weight): counts times idf, each document scaled to length 1; no row for documents without a known term."""
-        counts = docs.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("cnt"))
-        raw = counts.join(self.features, "term").select("doc_id", "idx", (F.col("cnt") * F.col("idf")).alias("w"))
-        length = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-        return raw.join(length, "doc_id").select("doc_id", "idx", (F.col("w") / F.col("length")).alias("weight"))
+        terms = docs.select("doc_id", F.explode("terms").alias("term"))
+        features = self.features.select("term", "idx", "idf")
+        if is_small(features, "term"):
+            raw = terms.join(F.broadcast(features), "term").groupBy("doc_id", "idx").agg((F.count("*") * F.first("idf")).alias("w"))
+        else:
+            counts = terms.groupBy("doc_id", "term").agg(F.count("*").alias("cnt"))
+            raw = counts.join(features, "term").select("doc_id", "idx", (F.col("cnt") * F.col("idf")).alias("w"))
+        # one aggregation gives a document's cells, at most one a feature, and their length
+        rows = raw.groupBy("doc_id").agg(F.collect_list(F.struct("idx", "w")).alias("cells"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+        return rows.select("doc_id", "length", F.inline("cells")).select("doc_id", "idx", (F.col("w") / F.col("length")).alias("weight"))
 
     def save(self, path: str) -> None:
         self.features.withColumn("n_docs", F.lit(self.n_docs)).write.mode("overwrite").parquet(path)
@@ -59,4 +67,5 @@ def fit(docs: DataFrame, min_df: int = 5, max_features: int | None = 5000) -> Tf
     if max_features is not None:
         kept = kept.orderBy(F.desc("tf"), "term").limit(max_features)
     ranked = dense_index(kept, "idx", F.col("term"))
-    return TfIdf(ranked.select("term", F.col("idx").cast("int").alias("idx"), "df", (F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")), n)
+    features = ranked.select("term", F.col("idx").cast("int").alias("idx"), "df", (F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
+    return TfIdf(cut(features, "features"), n)

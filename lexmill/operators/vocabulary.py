@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import is_small
 from .ranking import dense_index
 
 
@@ -28,7 +29,13 @@ def vocabulary(docs: DataFrame, min_freq: int = 1, max_features: int | None = No
 
 
 def doc_counts(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(doc_id, idx, cnt): sparse counts; terms outside the vocabulary don't count, documents without any have no row."""
+    """(doc_id, idx, cnt): sparse counts; terms outside the vocabulary don't count, documents without any have no row.
+
+    A vocabulary small enough is sent to the documents, so that only numbers are shuffled; ``vocab`` should be stored.
+    """
+    if is_small(vocab, "term"):
+        known = docs.select("doc_id", F.explode("terms").alias("term")).join(F.broadcast(vocab.select("term", "idx")), "term")
+        return known.groupBy("doc_id", "idx").agg(F.count("*").alias("cnt"))
     pairs = docs.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("cnt"))
     return pairs.join(vocab.select("term", "idx"), "term").select("doc_id", "idx", "cnt")
 

@@ -107,7 +107,7 @@ def _weights(source: str, high: int, features: int, fit_on: str = "true") -> str
 
 
 _KNN_TEXT = f"""docs AS (SELECT id AS doc_id, lower(trim(any_value(split))) AS s, {_number('any_value(label)')} AS label, coalesce(any_value(text), '') AS text FROM spam_assassin_preprocessed GROUP BY id HAVING any_value(label) IS NOT NULL),
-    {_weights('docs', 1, 300, "s = 'train'")},
+    {_weights('docs', 2, 5000, "s = 'train'")},
     asked AS (SELECT doc_id, EXISTS (SELECT 1 FROM weights w WHERE w.doc_id = d.doc_id) AS known FROM docs d WHERE s = 'test' AND doc_id % 20 = 0),
     train AS (SELECT doc_id, label FROM docs WHERE s = 'train'),
     dots AS (SELECT a.doc_id AS qid, b.doc_id AS tid, sum(a.weight * b.weight) AS d FROM weights a JOIN asked q ON q.doc_id = a.doc_id JOIN weights b ON a.idx = b.idx JOIN train t ON t.doc_id = b.doc_id GROUP BY 1, 2),
@@ -127,7 +127,9 @@ ORACLES: dict[str, str] = {
         SELECT id, label, CAST(len(v) AS INTEGER) AS cells, round(list_sum(v), 4) AS total, round(v[1], 6) AS first, round(v[272], 6) AS last FROM v""",
     "jsonl_text_scan": f"WITH {_TEXTS} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS text FROM texts WHERE text IS NOT NULL AND (doc_id % 2 = 0 OR regexp_matches(text, '\\S'))",
     "vocab_roundtrip": f"WITH {_vocab(2)} SELECT term, idx, cnt FROM vocab",
-    "predictions_json": f"""WITH {_JUDGED} SELECT '{{"text":"mail ' || doc_id || '","label":' || CASE WHEN label IS NULL THEN 'null' ELSE '"' || label || '"' END || '}}' AS value FROM judged""",
+    "predictions_json": f"WITH {_JUDGED}, {_TEXTS} SELECT t.text, j.label, round(probs['0'], 6) AS p0, round(probs['1'], 6) AS p1, CAST(3 AS INTEGER) AS fields FROM judged j LEFT JOIN texts t USING (doc_id)",
+    "algorithm_times": f"WITH {_JUDGED} SELECT model, count(time_ms) AS n, round(sum(time_ms), 3) AS total_ms, round(avg(time_ms), 3) AS mean_ms, round(max(time_ms), 3) AS most_ms FROM judged GROUP BY model",
+    "logreg_optimal": f"WITH {_CORPUS}, {_SPLIT}, fitted AS (SELECT c.doc_id, text FROM corpus c JOIN split s USING (doc_id) WHERE NOT is_test AND s.label IN ('0', '1')), {_weights('fitted', 2, 5000)} SELECT (SELECT count(*) FROM fitted) AS n, (SELECT count(*) FROM features) AS features, true AS flat",
     "tokenize": f"WITH {_TEXTS}, t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM texts WHERE text IS NOT NULL) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w[i] AS token FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)",
     "tokenize_cased": "SELECT doc_id, array_to_string(regexp_extract_all(text, '[a-z0-9]+'), ' ') AS tokens FROM documents WHERE text IS NOT NULL",
     "tokenize_nullsafe": f"WITH {_TEXTS} SELECT doc_id, CAST(coalesce(len(regexp_extract_all(lower(text), '[a-z0-9]+')), 0) AS INTEGER) AS n_tokens FROM texts",

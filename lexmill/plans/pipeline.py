@@ -6,13 +6,15 @@ import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import knn, linear, metrics, nbayes, splits, tfidf, vocabulary
 from ..session import cut
-from ..sources.readers import Config
+from ..sources.readers import Config, read_features
 
 #: A preprocessor turns a text column and the lower-case flag into an array of tokens.
 Preprocess = Callable[[Column, bool], Column]
@@ -33,20 +35,104 @@ class TextModel:
 
     def predict(self, docs: DataFrame) -> DataFrame:
         """(doc_id, text, label, probs) of ``docs(doc_id, text)``; empty and null texts are decided by the prior."""
-        counts = vocabulary.doc_counts(self.terms(docs), self.vocab)
-        return docs.select("doc_id", "text").join(self.bayes.predict(docs, counts), "doc_id")
+        found = nbayes.predictions(self.bayes.scores_of_terms(self.terms(docs), self.vocab))
+        return docs.select("doc_id", "text").join(found, "doc_id")
 
     def save(self, path: str) -> None:
         self.bayes.save(f"{path}/nb_model")
         vocabulary.save_vocabulary(self.vocab, f"{path}/vocab")
 
 
-def load_text_model(spark: SparkSession, path: str, ngram_range: tuple[int, int] = (1, 1), lowercase: bool = True) -> TextModel:
-    """A saved model; FileNotFoundError if model or vocabulary are missing, TypeError if they are something else."""
-    for part in ("nb_model", "vocab"):
-        if "://" not in path and not os.path.exists(f"{path}/{part}"):
-            raise FileNotFoundError(f"{path}/{part}")
-    return TextModel(nbayes.load(spark, f"{path}/nb_model"), vocabulary.load_vocabulary(spark, f"{path}/vocab"), ngram_range, lowercase)
+def python_preprocessor(tokenize: Callable[[str, bool], list[str]]) -> Preprocess:
+    """A preprocessor of a plain Python function of a text and the lower-case flag; null texts have no tokens.
+
+    It runs on Arrow batches outside the JVM: a function of columns is faster where there is one.
+    """
+
+    @F.pandas_udf("array<string>")
+    def run(text: pd.Series, lowercase: pd.Series) -> pd.Series:
+        return pd.Series([[] if t is None else [str(x) for x in tokenize(t, bool(low))] for t, low in zip(text, lowercase, strict=True)], dtype=object)
+
+    return lambda text, lowercase: run(text, F.lit(lowercase))
+
+
+def _present(path: str) -> str:
+    if "://" not in path and not os.path.exists(path):
+        raise FileNotFoundError(path)
+    return path
+
+
+def load_text_model(spark: SparkSession, path: str, ngram_range: tuple[int, int] = (1, 1), lowercase: bool = True, vocab: str | None = None) -> TextModel:
+    """A saved model; FileNotFoundError if model or vocabulary are missing, TypeError if they are something else.
+
+    ``vocab`` is another folder of the vocabulary.
+    """
+    model, words = _present(f"{path}/nb_model"), _present(vocab or f"{path}/vocab")
+    return TextModel(nbayes.load(spark, model), vocabulary.load_vocabulary(spark, words), ngram_range, lowercase)
+
+
+def load_bayes(spark: SparkSession, *paths: str) -> tuple[nbayes.NaiveBayes | None, DataFrame | None, str | None]:
+    """(model, vocabulary, error) of the first of ``paths`` that holds a model; nothing is raised.
+
+    The vocabulary is None where the model has none; without any model the error says what was wrong with each path.
+    """
+    errors = []
+    for path in paths:
+        try:
+            model = nbayes.load(spark, _present(f"{path}/nb_model"))
+        except (FileNotFoundError, TypeError) as e:
+            errors.append(str(e))
+            continue
+        try:
+            vocab = vocabulary.load_vocabulary(spark, _present(f"{path}/vocab"))
+        except (FileNotFoundError, AnalysisException):
+            vocab = None
+        return model, vocab, None
+    return None, None, "; ".join(errors) or "no path to a model"
+
+
+def load_knn(spark: SparkSession, path: str, n_features: int | None = None, has_header: bool = True) -> tuple[DataFrame | None, str | None]:
+    """(index, error): the training rows of a file of features, scaled to length 1 and stored once; nothing is raised."""
+    try:
+        rows = read_features(spark, _present(path), n_features, has_header)
+        return cut(knn.unit_vectors(rows), "index"), None
+    except (FileNotFoundError, AnalysisException) as e:
+        return None, str(e)
+
+
+@dataclass
+class Models:
+    """Everything the comparison needs; what couldn't be loaded is None and has its reason in ``errors``."""
+
+    bayes: TextModel | None
+    linear: linear.Linear | None
+    knn: DataFrame | None
+    errors: dict[str, str]
+
+
+_loaded: dict[tuple, Models] = {}
+
+
+def load_models(spark: SparkSession, bayes: tuple[str, ...], linear_path: str | None = None, features: str | None = None, n_features: int | None = None) -> Models:
+    """Naive Bayes of the first good path, the regression and the index of neighbours, loaded once a session and set of paths."""
+    key = (spark.sparkContext.applicationId, bayes, linear_path, features, n_features)
+    if key not in _loaded:
+        errors = {}
+        model, vocab, errors["bayes"] = load_bayes(spark, *bayes)
+        text = TextModel(model, vocab) if model is not None and vocab is not None else None
+        if model is not None and vocab is None:
+            errors["bayes"] = "the model has no vocabulary"
+        weighted = None
+        if linear_path is not None:
+            try:
+                weighted = linear.load(spark, _present(linear_path))
+            except Exception as e:  # what Spark ML raises for a folder it can't read differs by what is wrong
+                errors["linear"] = str(e)
+        index = None
+        if features is not None:
+            index, errors["knn"] = load_knn(spark, features, n_features)
+        _loaded[key] = Models(text, weighted, index, {k: v for k, v in errors.items() if v})
+    return _loaded[key]
 
 
 @dataclass
@@ -82,10 +168,10 @@ def evaluate(model: TextModel, corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id", F.col("label").cast("string").alias("true")).join(found, "doc_id").select("doc_id", "text", "true", F.col("pred").cast("string").alias("pred"), "probs")
 
 
-def train_linear(corpus: DataFrame, low: int = 1, high: int = 2, min_df: int = 5, max_features: int = 5000, c: float = 1.0, test_size: float = 0.2, seed: int = 42) -> tuple[linear.Linear, DataFrame]:
+def train_linear(corpus: DataFrame, low: int = 1, high: int = 2, min_df: int = 5, max_features: int = 5000, c: float = 1.0, test_size: float = 0.2, seed: int = 42, stop_words: tuple[str, ...] = tfidf.STOP_WORDS) -> tuple[linear.Linear, DataFrame]:
     """(model, (doc_id, true, pred, probs) of the held-out share) for ``corpus(doc_id, text, label)`` of labels 0 and 1."""
     split = splits.stratified_split(corpus, test_size=test_size, seed=seed)
-    docs = cut(split.select("doc_id", "label", "is_test", tfidf.terms(F.col("text"), low=low, high=high).alias("terms")), "terms")
+    docs = cut(split.select("doc_id", "label", "is_test", tfidf.terms(F.col("text"), stop_words, low, high).alias("terms")), "terms")
     weights = tfidf.fit(docs.where("NOT is_test"), min_df, max_features)
     model = linear.fit(weights, docs.where("NOT is_test"), c)
     found = model.predict(docs.where("is_test")).withColumnRenamed("label", "pred")

@@ -92,10 +92,12 @@ def vocab_roundtrip(spark, folder):
 
 @query
 def predictions_json(spark, folder):
-    rows = table(spark, folder, "predictions").dropDuplicates(["id", "model"])
-    rows = rows.select("id", "model", "label", F.concat(F.lit("mail "), F.col("id").cast("string")).alias("text"))
-    lines = writers.prediction_lines(rows.select("text", "label"))
-    return lines
+    """Every prediction as a JSON line of its text, label and probabilities, read again field by field; unknown texts are null."""
+    rows = judged(spark, folder).join(texts(spark, folder).select("doc_id", "text"), "doc_id", "left")
+    lines = writers.prediction_lines(rows.select("text", "label", "probs"))
+    read = F.from_json("value", "text string, label string, probs map<string,double>")
+    fields = lines.select(read.alias("x"), F.size(F.json_object_keys("value")).alias("fields"))
+    return fields.select(F.col("x.text").alias("text"), F.col("x.label").alias("label"), F.round(F.col("x.probs")["0"], 6).alias("p0"), F.round(F.col("x.probs")["1"], 6).alias("p1"), "fields")
 
 
 # text functions
@@ -179,12 +181,12 @@ def vocab(spark, folder):
 @query
 def doc_counts(spark, folder):
     docs = unigrams(corpus(spark, folder))
-    return vocabulary.doc_counts(docs, vocabulary.vocabulary(docs, min_freq=2))
+    return vocabulary.doc_counts(docs, cut(vocabulary.vocabulary(docs, min_freq=2), "vocab"))
 
 
 def sparse(spark, folder, **limits):
     docs = unigrams(corpus(spark, folder))
-    return vocabulary.sparse_rows(docs, vocabulary.doc_counts(docs, vocabulary.vocabulary(docs, **limits)))
+    return vocabulary.sparse_rows(docs, vocabulary.doc_counts(docs, cut(vocabulary.vocabulary(docs, **limits), "vocab")))
 
 
 @query
@@ -411,6 +413,26 @@ def logreg_train(spark, folder):
     return spark.createDataFrame(linear.weights(model), "term string, weight double")
 
 
+@query
+def logreg_optimal(spark, folder):
+    """(n, features, flat): training texts and features, and whether the fitted weights are the optimum.
+
+    The gradient of half the squared weights plus the log loss is worked out here from weights and probabilities; ``flat``
+    is whether no part of it, the intercept's included, is above 0.0001 a training text.
+    """
+    from ..operators import linear
+
+    rows = corpus(spark, folder).where("label IN ('0', '1')")
+    model, _ = pipeline.train_linear(rows)
+    split = splits.stratified_split(rows).where("NOT is_test")
+    docs = cut(split.select("doc_id", F.col("label").cast("double").alias("y"), tfidf.terms(F.col("text")).alias("terms")), "terms")
+    miss = cut(docs.select("doc_id", "y").join(model.predict(docs.select("doc_id", "terms")), "doc_id").select("doc_id", (F.col("probs")["1"] - F.col("y")).alias("e")), "misses")
+    slope = model.tfidf.weights(docs).join(miss, "doc_id").groupBy("idx").agg(F.sum(F.col("weight") * F.col("e")).alias("g"))
+    weights = spark.createDataFrame([(i, w) for i, (_, w) in enumerate(linear.weights(model))], "idx int, w double")
+    full = weights.join(slope, "idx", "left").agg(F.count("*").alias("features"), F.max(F.abs(F.col("w") + F.coalesce("g", F.lit(0.0)))).alias("most"))
+    return miss.agg(F.count("*").alias("n"), F.abs(F.sum("e")).alias("free")).crossJoin(full).select("n", "features", (F.greatest("most", "free") <= 1e-4 * F.col("n")).alias("flat"))  # one row each
+
+
 @query
 def logreg_predict(spark, folder):
     _, found = pipeline.train_linear(corpus(spark, folder))
@@ -434,8 +456,7 @@ def judged_rows(spark, folder):
 
 @query
 def accuracy(spark, folder):
-    rows = judged_rows(spark, folder)
-    return rows.groupBy("model").agg(F.round(F.avg(F.when(F.col("true") == F.col("pred"), 1.0).otherwise(0.0)), 6).alias("accuracy"))
+    return knn.accuracy(judged_rows(spark, folder), F.col("true"), F.col("pred"), ("model",)).select("model", r6("accuracy"))
 
 
 @query
@@ -465,6 +486,12 @@ def nb_knn_agreement(spark, folder):
     return compare.compare(of("naive_bayes"), of("knn"))
 
 
+@query
+def algorithm_times(spark, folder):
+    rows = compare.timings(judged(spark, folder).select("model", "time_ms"))
+    return rows.select("model", "n", F.round("total_ms", 3).alias("total_ms"), F.round("mean_ms", 3).alias("mean_ms"), F.round("most_ms", 3).alias("most_ms"))
+
+
 @query
 def confidence_pct(spark, folder):
     return judged(spark, folder).select("doc_id", "model", T.confidence(F.col("probs"), F.col("label")).alias("confidence"))

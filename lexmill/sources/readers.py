@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import label_number, prediction_text
 from ..functions.vectors import parsed
+from ..session import cut
 
 #: Names under which the text or label may go, in order of preference, for training and for evaluation.
 TRAIN_TEXT = ("message", "body", "Text", "content", "email_content", "emailContent")
@@ -35,7 +36,8 @@ def labelled(rows: DataFrame, text: tuple[str, ...] = TRAIN_TEXT, label: tuple[s
     """
     texts, labels = _resolve(rows, "text", text), _resolve(rows, "label", label)
     ids = F.col(f"`{key}`") if key else F.monotonically_increasing_id()
-    return rows.select(ids.alias("doc_id"), F.coalesce(F.col(f"`{texts}`").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(f"`{labels}`").cast("string"), F.lit("nan")).alias("label"))
+    out = rows.select(ids.alias("doc_id"), F.coalesce(F.col(f"`{texts}`").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(f"`{labels}`").cast("string"), F.lit("nan")).alias("label"))
+    return out if key else cut(out, "labelled")  # ids that are made up must not be made up again
 
 
 def read_csv(spark: SparkSession, path: str, missing: bool = True) -> DataFrame:
@@ -86,6 +88,13 @@ def feature_rows(rows: DataFrame, key: str = "row_id", label: str = "label", fea
     return rows.select(F.col(key).alias("id"), label_number(F.col(label)).alias("label"), filled(F.col(features), width).alias("v")).dropDuplicates(["id"])
 
 
+def read_stop_words(path: str) -> tuple[str, ...]:
+    """The words of a file, one a line, lower-cased; blank lines and lines that begin with ``#`` are skipped."""
+    with open(path, encoding="utf-8") as f:
+        lines = [line.strip().lower() for line in f]
+    return tuple(dict.fromkeys(x for x in lines if x and not x.startswith("#")))
+
+
 def read_prediction_input(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text) of a file of texts or JSON objects with a ``text``, one a line; blank lines are skipped."""
     lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))

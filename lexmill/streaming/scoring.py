@@ -8,6 +8,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.text import prediction_text
 from ..plans.pipeline import TextModel
+from ..session import drop_shared, write_shared
 from ..sources.writers import prediction_lines
 
 
@@ -23,8 +24,11 @@ def score_stream(lines: DataFrame, model: TextModel, output: str, checkpoint: st
     def write(batch: DataFrame, number: int) -> None:
         # ids must be the same wherever a text is read in the plan, so they come from the text, not from its place
         numbered = batch.groupBy("text").agg(F.count("*").alias("copies")).withColumn("doc_id", F.xxhash64("text"))
+        path = write_shared(numbered, "stream")
+        numbered = numbered.sparkSession.read.schema(numbered.schema).parquet(path)
         found = model.predict(numbered.select("doc_id", "text")).join(numbered.select("doc_id", "copies"), "doc_id")
         every = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
         prediction_lines(every.select("text", "label", "probs")).write.mode("overwrite").text(f"{output}/batch={number}")
+        drop_shared(numbered.sparkSession, path)
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
