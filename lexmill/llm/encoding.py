@@ -45,16 +45,15 @@ MISREADINGS = (
 )
 #: Frequent words by which a line's language is told.
 MARKERS = {
-    "de": "und der die das nicht ist für über wir mit ein von zu dem den könntest hätte",
-    "fr": "le la les des une est et que pour avec nous dans vous près sur déjà au",
-    "es": "el los las del una que para con por más está según llamará podrías al",
+    "de": "und der die das nicht ist für über wir mit ein von zu dem den auch sich auf im es",
+    "fr": "le la les des une est et que pour avec nous dans vous près sur déjà au qui pas ce",
+    "es": "el los las del una que para con por más está según al se lo como su pero este también",
     "pt": "o os uma não para com em mais você são até também do da se",
-    "ru": "и в не на что для до мы код просит",
+    "ru": "и в не на что для до мы с по это как но за от к у из так же",
     "en": "the of and to is for with that you are this was from it",
 }
 _MARKERS = {lang: set(words.split()) for lang, words in MARKERS.items()}
 _RUN = re.compile(r"[^\x00-\x7f]+")
-_TOKEN = re.compile(r"[^\W\d_]*[^\x00-\x7f][^\s\x00-\x40]*")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 #: Cost in bytes of naming one wrong reading; single-byte pairs have no check of validity and need more evidence.
@@ -119,6 +118,9 @@ def _step(run: str, read: str, written: str) -> str | None:
     return good if _LETTERS.fullmatch(good) else None
 
 
+#: Stretches that one-byte letters of another alphabet may have become: letters, and the signs beside them in its tables.
+_SINGLE = re.compile("[" + "".join(re.escape(c) for c in sorted({c for read, written in MISREADINGS if written != "utf-8" for c, b in _TABLES[read].items() if bytes([b]).decode(written, "replace").isalpha()})) + "]+")
+
 #: Readings under which part of a stretch may be right and part garbled.
 _PARTLY = {"cp1252", "latin-1", "mac_roman", "cp437"}
 _BACK = {name: {b: c for c, b in table.items()} for name, table in _TABLES.items()}
@@ -233,7 +235,7 @@ class Reader:
             for *_, d in runs:
                 if d and d[1][-1][1] != "utf-8":
                     single = d[1]
-            open_runs = tuple(run for *_, run, d in runs if d is None and _LETTERS.fullmatch(run.replace("╦", "ё")))
+            open_runs = tuple(run for *_, run, d in runs if d is None and _SINGLE.fullmatch(run))
             if single is None and len(open_runs) > 1 and max(map(len, open_runs)) > 1:
                 single = self.decide_line(open_runs)
             for i, j, run, d in runs:
