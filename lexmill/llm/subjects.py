@@ -18,6 +18,7 @@ import math
 import pickle
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +82,9 @@ def sentences(column: pa.Array):
         yield at, words, number, doc
 
 
+@lru_cache(maxsize=300_000)
 def buckets_of(word: bytes) -> list[int]:
-    """Rows of the table for a word: its own, then those of its subwords."""
+    """Rows of the table for a word: its own, then those of its subwords; kept, as a worker meets words again and again."""
     framed = b"<" + word + b">"
     grams = {framed[i : i + n] for n in GRAMS if n < len(framed) for i in range(len(framed) - n + 1)}
     return [zlib.crc32(framed) % BUCKETS, *(zlib.crc32(b"#" + g) % BUCKETS for g in sorted(grams))]
@@ -123,7 +125,7 @@ class Lexicon:
 def word_vectors(table: np.ndarray, own: np.ndarray, subs: np.ndarray, at: np.ndarray) -> np.ndarray:
     if not len(own):
         return np.zeros((0, table.shape[1]), table.dtype)
-    return table[own] + np.add.reduceat(table[subs], at[:-1], axis=0) / np.diff(at)[:, None]
+    return table[own] + np.add.reduceat(table[subs], at[:-1], axis=0) / np.diff(at)[:, None].astype(table.dtype)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -185,9 +187,9 @@ def gradient(d: dict, model: tuple, labels: np.ndarray | None = None, teacher: t
         dz, cases = (e / count)[d["in_doc"]] * p * (1 - p), len(d["docs"])
     else:
         was = _chances(d, teacher)[1]
-        dz, cases = (p - (was >= ABOUT)) * (np.abs(was - ABOUT) > DOUBT), len(p)
+        dz, cases = (p - (was >= ABOUT).astype(np.float32)) * (np.abs(was - ABOUT) > DOUBT), len(p)
     dh = (dz @ model[1].T) / d["size"][:, None]
-    dv = np.add.reduceat(dh[d["sent_by_word"]], d["word_first"], axis=0)
+    dv = np.add.reduceat(dh.astype(np.float32)[d["sent_by_word"]], d["word_first"], axis=0)
     dt = np.zeros(model[0].shape, np.float32)
     dt[d["touched"]] = np.add.reduceat(dv[d["source"]] * d["share"], d["row_first"], axis=0)
     return dt, (h.T @ dz).astype(np.float32), dz.sum(axis=0).astype(np.float32), cases
